@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import media, secrets, sharding, simhash, urls
+from . import media, packing, secrets, sharding, simhash, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op3_media": media.op3_media,
     "op6_urls": urls.op6_urls,
     "op7_secrets": secrets.op7_secrets,
+    "op9_packing": packing.op9_packing,
     "op10_sharding": sharding.op10_sharding,
 }
 
