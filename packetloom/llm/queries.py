@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import media, packing, secrets, sharding, simhash, urls
+from . import decontaminate, media, packing, secrets, sharding, simhash, toxicity, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op3_media": media.op3_media,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_urls": urls.op6_urls,
     "op7_secrets": secrets.op7_secrets,
     "op9_packing": packing.op9_packing,
