@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, media, packing, secrets, sharding, simhash, toxicity, urls
+from . import decontaminate, media, packing, secrets, sharding, simhash, suffix_tree, toxicity, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_suffix_tree": suffix_tree.op2_suffix_tree,
     "op3_media": media.op3_media,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_decontaminate": decontaminate.op5_decontaminate,
