@@ -7,6 +7,8 @@ dissolved, and the displaced pieces are put back best-fit by decreasing length.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Callable
 from functools import cache
@@ -22,17 +24,49 @@ from . import common
 VOCABULARY = "word_bpe_49k.json"
 
 
+class PieceIds(dict):
+    """Little-endian 32-bit ids of a splitter's piece (a run of letters, a digit, a run of marks), straight from the merge model."""
+
+    def __init__(self, model: object, most: int):
+        super().__init__()
+        self.model, self.most = model, most
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in byte-level vocabularies
+        odd = (k for k in range(256) if k not in plain)
+        self.chars = {k: chr(k) for k in plain} | {k: chr(256 + n) for n, k in enumerate(odd)}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        shown = piece if piece.isascii() else "".join([self.chars[k] for k in piece.encode()])
+        got = self[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+        return got
+
+
 class WordIds(dict):
     """Little-endian 32-bit ids of a white-space-free word; words are encoded on first sight and forgotten when too many are held.
 
     The tokenizer's normaliser and splitter never join characters across ASCII white space, so a text's ids are its words' ids in turn.
+    Texts (and in other texts, words) of printable Latin-1, which the normaliser only lower-cases, are split here and their pieces merged
+    by the tokenizer's model; any other word takes the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    # The vocabulary's splitter; the same for lower-case Latin-1.
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    LATIN = re.compile(r"[\t-\r -~\xa1-\xff]*")
+    LATIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\sa-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
+
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        with open(path, encoding="utf-8") as f:
+            head = json.load(f)
+        splitters = [x.get("pattern", {}).get("Regex") for x in (head["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        normal = [x["type"] for x in (head["normalizer"] or {}).get("normalizers", [])]
+        known = splitters == [self.SPLIT, None] and normal == ["NFC", "Replace", "Lowercase"]
+        self.pieces = PieceIds(self.tokenizer.model, most) if known else None
+        self.by_word = known
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -40,12 +74,22 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        got = self[word] = self.whole(word.decode())
+        text = word.decode()
+        got = self[word] = self.latin(text) if self.LATIN.fullmatch(text) else self.whole(text)
         return got
 
+    def latin(self, text: str) -> bytes:
+        """Ids of Latin-1 text: lower case is all the normaliser changes, and the splitter's classes are plain ranges."""
+        pieces = self.pieces
+        return b"".join([pieces[x] for x in self.LATIN_SPLIT.findall(text.lower())])
+
     def of(self, text: bytes, end_id: int) -> bytes:
-        """Ids of a text, then the end id. Texts that may hold a special token's string are encoded whole."""
-        ids = self.whole(text.decode()) if b"<|" in text else b"".join([self[w] for w in text.split()])
+        """Ids of a text, then the end id. Texts that may hold a special token's string, and other tokenizers' texts, are encoded whole."""
+        line = text.decode()
+        if not self.by_word or "<|" in line:
+            ids = self.whole(line)
+        else:
+            ids = self.latin(line) if self.LATIN.fullmatch(line) else b"".join([self[w] for w in text.split()])
         return ids + end_id.to_bytes(4, "little")
 
 
