@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, media, packing, secrets, sharding, simhash, suffix_tree, toxicity, urls
+from . import decontaminate, media, packing, secrets, sharding, simhash, substring, suffix_tree, toxicity, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_urls": urls.op6_urls,
     "op7_secrets": secrets.op7_secrets,
+    "op8_substring": substring.op8_substring,
     "op9_packing": packing.op9_packing,
     "op10_sharding": sharding.op10_sharding,
 }
