@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -33,7 +34,7 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """A map-only pass of fn over Arrow batches; fn returns the rows of one batch, or None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,6 +45,34 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+def change_rows(df: DataFrame, text_col: str, fn: Callable[[list[str]], list[str | None]], length_col: str | None = None) -> DataFrame:
+    """A map-only pass that keeps df's columns: fn gives each row's new text, or None to drop the row.
+
+    Rows whose text fn returns unchanged keep every value (a null text too); where the text changes, length_col gets its length.
+    """
+    at = df.columns.index(text_col)
+    size = df.columns.index(length_col) if length_col in df.columns else None
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        old = texts(batch.column(at))
+        new = fn(old)
+        keep = pa.array([x is not None for x in new], pa.bool_())
+        columns = list(batch.columns)
+        changed = [k for k, (a, b) in enumerate(zip(old, new, strict=True)) if b is not None and a != b]
+        if changed:
+            values, sizes = batch.column(at).to_pylist(), batch.column(size).to_pylist() if size is not None else None
+            for k in changed:
+                values[k] = new[k]
+                if sizes is not None:
+                    sizes[k] = len(new[k])
+            columns[at] = pa.array(values, batch.schema.field(at).type)
+            if sizes is not None:
+                columns[size] = pa.array(sizes, batch.schema.field(size).type)
+        return pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(keep)
+
+    return map_batches(df, run, df.schema)
+
+
 def batch_of(**columns: tuple[list | pa.Array, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in columns.values()], names=list(columns))
 

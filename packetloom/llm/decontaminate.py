@@ -155,5 +155,11 @@ def decontaminate(
     return common.map_batches(common.id_text(docs, id_col, text_col), run, "doc_id long, n_words long, n_items long, item_id long, coverage double, tiles long, contaminated boolean")
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, match: int = 5, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of docs, all columns kept, that hold no benchmark item to the threshold; as decontaminate() in all else."""
+    one = judged(blocks_of(benchmark, match, block_bytes, item_id_col, item_text_col), threshold)
+    return common.change_rows(docs, text_col, lambda xs: [None if one(x.encode())[-1] else x for x in xs])
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -7,7 +7,6 @@ format under them against the likelihood under an automaton of ordinary tokens.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import defaultdict
@@ -27,7 +26,7 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{20,}")
 CLASSES = {"d": "0123456789", "h": "abcdef", "l": "ghijklmnopqrstuvwxyz", "u": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 CLASS_OF = {c: (k, math.log2(len(v))) for k, v in CLASSES.items() for c in v}
-END = "$"
+PLAIN = "plain"
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -149,19 +148,28 @@ def grammars(labelled: list[tuple[str, str]]) -> dict[str, Automaton]:
     return {k: Automaton(v) for k, v in by.items()}
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_limit: int = 400, most_bits: float = 5.5, margin: float = 0.75) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, spans array<struct<kind, start, end>>), one row per input row.
+class Scanner:
+    """Base spans plus the candidates whose format the automata find likely."""
 
-    One pass over whole texts finds base spans and candidates; the automata learn from train_limit distinct base values a kind (those of
-    smallest hash; a documented bound) and from as many candidates' surroundings, ordinary words, as the background; a second pass over
-    the narrow rows scores every candidate. A candidate becomes a span of kind "format" if its best automaton needs at most most_bits
-    bits a character and at least margin fewer than the background. Base spans always stay. Offsets are code points, ends exclusive.
-    Null and empty texts have no span. Repeated rows each return. An empty table returns no row; with no labelled value nothing is added.
-    """
-    spark = docs.sparkSession
+    def __init__(self, automata: dict[str, Automaton], most_bits: float, margin: float):
+        self.known = {k: a for k, a in automata.items() if k != PLAIN}
+        self.plain, self.most_bits, self.margin = automata.get(PLAIN), most_bits, margin
+
+    def likely(self, value: str) -> bool:
+        best = min((a.bits(value) for a in self.known.values()), default=math.inf)
+        return best <= self.most_bits and (self.plain is None or self.plain.bits(value) - best >= self.margin)
+
+    def spans(self, text: str) -> list[tuple[int, int, int]]:
+        """(start, kind index, end), by start, then kind."""
+        base = base_spans(text)
+        return sorted([(s, k, e) for s, k, e, _ in base] + [(s, 3, e) for s, e, v in candidates(text, base) if self.likely(v)])
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """(doc_id, base, more, word) of (doc_id, text): base spans, candidates, and an ordinary word of texts that have base spans."""
     span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("value", pa.string())]))
 
-    def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         base, more, words = [], [], []
         for text in common.texts(batch.column(1)):
             b = base_spans(text)
@@ -171,25 +179,39 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return common.batch_of(doc_id=(batch.column(0), pa.int64()), base=(base, span), more=(more, span), word=(words, pa.string()))
 
     kind = "array<struct<start: long, kind: int, end: long, value: string>>"
-    seen = common.cut(common.map_batches(common.id_text(docs, id_col, text_col), scan, f"doc_id long, base {kind}, more {kind}, word string"))
-    values = seen.select(F.explode("base").alias("x")).select("x.kind", "x.value").unionByName(seen.where("word <> ''").select(F.lit(9).alias("kind"), F.col("word").alias("value"))).distinct()
+    return common.map_batches(docs, run, f"doc_id long, base {kind}, more {kind}, word string")
+
+
+def learn(seen: DataFrame, train_limit: int) -> dict[str, Automaton]:
+    """Automata of the base values of a scan, and one of ordinary words, from train_limit distinct values each (those of smallest hash)."""
+    values = seen.select(F.explode("base").alias("x")).select(F.col("x.kind").cast("string").alias("kind"), "x.value")
+    values = values.unionByName(seen.where("word <> ''").select(F.lit(PLAIN).alias("kind"), F.col("word").alias("value"))).select("kind", F.expr("substr(value, 1, 256)").alias("value")).distinct()
     labelled = []
-    for k in (0, 1, 2, 9):
-        labelled += [(str(k), r[0]) for r in values.where(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(train_limit).select(F.expr("substr(value, 1, 256)")).collect()]
-    sent = spark.sparkContext.broadcast(grammars(labelled))
+    for k in ("0", "1", "2", PLAIN):
+        labelled += [(k, r[0]) for r in values.where(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(train_limit).select("value").collect()]
+    return grammars(labelled)
+
+
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_limit: int = 400, most_bits: float = 5.5, margin: float = 0.75) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, spans array<struct<kind, start, end>>), one row per input row.
+
+    One pass over whole texts finds base spans and candidates; the automata learn from train_limit distinct base values a kind (those of
+    smallest hash, their first 256 characters; a documented bound) and as many ordinary words of the same texts; a second pass over the
+    narrow rows scores every candidate. A candidate becomes a span of kind "format" if its best automaton needs at most most_bits bits a
+    character and at least margin fewer than that of ordinary words. Base spans always stay. Offsets are code points, ends exclusive.
+    Null and empty texts have no span. Repeated rows each return. An empty table returns no row; with no labelled value nothing is added.
+    """
+    seen = common.cut(scan(common.id_text(docs, id_col, text_col)))
+    sent = docs.sparkSession.sparkContext.broadcast(learn(seen, train_limit))
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known = dict(sent.value)
-        plain = known.pop("9", None)
+        scanner = Scanner(sent.value, most_bits, margin)
         out, counts = [], ([], [], [])
         for base, more in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             spans = [(x["start"], x["kind"], x["end"]) for x in base]
             for c, n in enumerate(counts):
                 n.append(sum(k == c for _, k, _ in spans))
-            for x in more:
-                best = min((a.bits(x["value"]) for a in known.values()), default=math.inf)
-                if best <= most_bits and (plain is None or plain.bits(x["value"]) - best >= margin):
-                    spans.append((x["start"], 3, x["end"]))
+            spans += [(x["start"], 3, x["end"]) for x in more if scanner.likely(x["value"])]
             out.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(spans)])
         kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         return common.batch_of(doc_id=(batch.column(0), pa.int64()), **{f"n_{KINDS[c]}": (n, pa.int64()) for c, n in enumerate(counts)}, spans=(out, kinds))
@@ -197,6 +219,18 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return common.map_batches(seen.select("doc_id", "base", "more"), score, "doc_id long, n_assign long, n_access long, n_hex long, spans array<struct<kind: string, start: long, end: long>>")
 
 
+def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", train_limit: int = 400, most_bits: float = 5.5, margin: float = 0.75, mark: str = "[REDACTED]") -> DataFrame:
+    """The rows of docs, all kept with all columns, with each secret that find_secrets() finds replaced by the mark."""
+    seen = common.cut(scan(common.id_text(docs, id_col, text_col)))
+    sent = docs.sparkSession.sparkContext.broadcast(learn(seen, train_limit))
+
+    def clean(xs: list[str]) -> list[str]:
+        scanner = Scanner(sent.value, most_bits, margin)
+        return [redact(x, [(s, e) for s, _, e in scanner.spans(x)], mark) for x in xs]
+
+    return common.change_rows(docs, text_col, clean, length_col)
+
+
 def redact(text: str, spans: list[tuple[int, int]], mark: str = "[REDACTED]") -> str:
     """The text with each span, overlapping ones as one, replaced."""
     out, at = [], 0

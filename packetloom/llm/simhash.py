@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -136,7 +136,7 @@ def hub_links(grid: DataFrame) -> DataFrame:
 
 
 def classes(prints: DataFrame, radius: int = 2, cell_limit: int = 4096) -> DataFrame:
-    """(fp, component_id) for each distinct fingerprint of prints (doc_id, fp).
+    """(fp, root, component_id) for each distinct fingerprint of prints (doc_id, fp).
 
     Copies collapse to one node before any join. Cells with over cell_limit distinct fingerprints take hub_links (the exact way for a
     hot bucket), the others are verified pair by pair in bounded memory. radius is 2 in the hub step, so 2 is the one radius allowed.
@@ -150,7 +150,7 @@ def classes(prints: DataFrame, radius: int = 2, cell_limit: int = 4096) -> DataF
     roots = common.components(links).withColumnRenamed("u", "fp")
     rooted = nodes.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    return rooted.join(least, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -166,5 +166,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(found, "fp").select("doc_id", "fp", text.alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """The rows of docs, all columns kept, without near duplicates: of each class the row of smallest id stays.
+
+    Null ids come after all others; of repeated rows, or of rows with one id, one stays in each class (that of the smallest text hash).
+    Null and empty texts are one class. An empty table stays empty.
+    """
+    hidden = "_"
+    while any(c.lower().startswith(hidden) for c in docs.columns):
+        hidden += "_"
+    name, mark = F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), mark.alias("mark"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        got = b"".join([fingerprint(x, shingle) for x in common.blobs(batch.column(1))])
+        return common.batch_of(doc_id=(batch.column(0), pa.int64()), mark=(batch.column(2), pa.int64()), fp=(pa.array(np.frombuffer(got, ">u8").astype(np.uint64).view(np.int64)), pa.int64()))
+
+    prints = common.cut(common.map_batches(narrow, run, "doc_id long, mark long, fp long"))
+    found = classes(prints, radius)  # rows with one root share a component; the root is the class
+    first = prints.join(found, "fp").groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "mark")).alias("m"))
+    stay = first.select(F.coalesce(F.col("m.doc_id").cast("string"), F.lit("null")).alias(hidden + "i"), F.col("m.mark").alias(hidden + "m")).distinct()
+    tagged = docs.withColumns({hidden + "i": name, hidden + "m": mark})
+    kept = tagged.join(stay, [hidden + "i", hidden + "m"], "left_semi")
+    once = F.row_number().over(Window.partitionBy(hidden + "i", hidden + "m").orderBy(hidden + "i"))
+    return kept.withColumn(hidden + "n", once).where(F.col(hidden + "n") == 1).select(docs.columns)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")

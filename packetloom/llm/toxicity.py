@@ -186,5 +186,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, train_l
     return common.map_batches(common.id_text(docs, id_col, text_col), run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, train_limit: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns kept, that score under the threshold; as toxicity() in all else."""
+    scores = scorer(docs.sparkSession, fit(docs, labels, train_limit, id_col, text_col))
+    return common.change_rows(docs, text_col, lambda xs: [x if s < threshold else None for x, s in zip(xs, scores(xs), strict=True)])
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
