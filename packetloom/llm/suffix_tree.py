@@ -12,6 +12,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -149,38 +150,42 @@ class Tree:
     depth: int
 
     @classmethod
-    def build(cls, rows: list[tuple[int, int, int, int]], depth: int) -> Tree:
-        counts: dict[bytes, dict[int, int]] = {b"": {}}
-        for size, context, symbol, n in rows:
-            counts.setdefault(context.to_bytes(size, "big"), {})[symbol] = n
-        seen = sorted({s for c in counts.values() for s in c} | {c for h in counts for c in h})
+    def build(cls, size: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarray, depth: int) -> Tree:
+        """From the next-byte counts of the kept contexts, in any order."""
+        order = np.lexsort((symbol, context, size))
+        size, context, symbol, n = (x[order] for x in (size, context, symbol, n))
+        first = np.flatnonzero(np.append(True, (np.diff(size) != 0) | (np.diff(context) != 0))) if len(size) else size
+        names = [int(c).to_bytes(int(k), "big") for k, c in zip(size[first], context[first], strict=True)]
+        rows = dict(zip(names, zip(first.tolist(), np.append(first[1:], len(size)).tolist(), strict=True), strict=True))
+        seen = sorted(set(symbol.tolist()) | {c for h in names for c in h})
         code = np.full(256, len(seen), np.int64)  # the last column: bytes never seen
         code[seen] = np.arange(len(seen))
-        width = len(seen) + 1
-        states = {h[a:b] for h in counts for a in range(len(h) + 1) for b in range(a, len(h) + 1)} | {b""}
-        order = sorted(states, key=lambda h: (len(h), h))
-        at = {h: k for k, h in enumerate(order)}
-        step, p = np.zeros((len(order), width), np.int32), np.zeros((len(order), width))
-        grow: dict[bytes, list[bytes]] = {}
-        for h in order[1:]:
-            grow.setdefault(h[:-1], []).append(h)
-        for k, h in enumerate(order):
-            if k:
-                up = at[h[1:]]
-                step[k], p[k] = step[up], p[up]
-            else:  # one count for each of 256 bytes; those never seen share the last column
-                root = np.append(np.zeros(width - 1), 0.0)
-                for s, n in counts[b""].items():
-                    root[code[s]] = n
-                p[0] = (root + 1) / (root.sum() + 256)
-            if k and (own := counts.get(h)):
-                n = np.zeros(width)
-                for s, x in own.items():
-                    n[code[s]] = x
-                p[k] = (n + len(own) * p[k]) / (n.sum() + len(own))
-            for child in grow.get(h, ()):
-                step[k, code[child[-1]]] = at[child]
-        return cls(code, step, np.log10(p).astype(np.float32), depth)
+        width, column = len(seen) + 1, code[symbol]
+        states = {h[a:b] for h in names for a in range(len(h) + 1) for b in range(a, len(h) + 1)} | {b""}
+        listed = sorted(states, key=lambda h: (len(h), h))
+        del states
+        at = {h: k for k, h in enumerate(listed)}
+        step, logp = np.zeros((len(listed), width), np.int32), np.zeros((len(listed), width), np.float32)
+        # The root has one count for each of 256 bytes; those never seen share the last column. A state's own row comes after its suffix's.
+        p = np.zeros((len(listed), width), np.float32)
+        for _, level in groupby(listed, key=len):
+            level = list(level)
+            for h in filter(None, level):  # steps down to this level, before the level copies its suffixes' rows
+                step[at[h[:-1]], code[h[-1]]] = at[h]
+            for h in level:
+                k = at[h]
+                if k:
+                    up = at[h[1:]]
+                    step[k], p[k] = step[up], p[up]
+                if h in rows:
+                    a, b = rows[h]
+                    counts = np.zeros(width)
+                    counts[column[a:b]] = n[a:b]
+                    p[k] = (counts + (b - a) * p[k]) / (counts.sum() + b - a) if k else (counts + 1) / (counts.sum() + 256)
+                elif not k:
+                    p[k] = 1 / 256
+        np.log10(p, out=logp)
+        return cls(code, step, logp, depth)
 
     def scores(self, lines: list[bytes], chunk: int = 256) -> np.ndarray:
         """log10 probability of each line. Lines go in chunks, side by side; each chunk starts depth bytes early to find its state."""
@@ -231,9 +236,12 @@ def score(
     counted = common.cut(corpus_counts(rows, depth))
     tokens = common.cut(counted.where("token is not null").groupBy("token").agg(F.sum("n").alias("c")))
     size, total = tokens.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    often = {r.token.encode(): r.c for r in tokens.where(F.col("c") >= F.lit(token_share * total)).collect()}
+    often = tokens.where(F.col("c") >= F.lit(token_share * total)).toArrow()
+    often = dict(zip(common.blobs(often.column(0)), np.log10(often.column(1).to_numpy() + 1.0).tolist(), strict=True))
     found = contexts(counted.where("gram is not null").select("gram", "n"), depth, least_share, least_gain)
-    tree = Tree.build([(r[0], r[1], r[2], r[3]) for r in found.collect()], depth)
+    arrays = found.toArrow()
+    tree = Tree.build(*[arrays.column(k).to_numpy() for k in range(4)], depth)
+    del arrays
     sent = spark.sparkContext.broadcast((often, tree.code, tree.step, tree.logp))
     del often, tree
     rare = pa.list_(pa.struct([("token", pa.string()), ("tf", pa.int64())]))
@@ -242,7 +250,7 @@ def score(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not cached:
             often, code, step, logp = sent.value
-            cached.extend([{w: np.log10(c + 1) for w, c in often.items()}, Tree(code, step, logp, depth)])
+            cached.extend([often, Tree(code, step, logp, depth)])
         known, tree = cached
         for whole in batches:
             for a in range(0, whole.num_rows, 1000):
