@@ -1 +1 @@
-
+"""Operators over DataFrames: each returns a new lazy DataFrame."""
