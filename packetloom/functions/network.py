@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,8 +16,8 @@ SPECIAL4 = [
     *PRIVATE4, ("0.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16), ("192.0.0.0", 24), ("192.0.2.0", 24), ("198.18.0.0", 15),
     ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4),
 ]
-#: First hexadecimal digits of IPv6 ranges that are not public: unspecified, loopback and mapped, discard, unique local, link local, multicast, documentation.
-SPECIAL6 = r"^(0{4}|0100000000000000|f[cd]|fe[89ab]|ff|20010db8)"
+#: First hexadecimal digits of IPv6 addresses that are not public: all outside 2000::/3, protocol assignments, documentation, 6to4.
+SPECIAL6 = r"^([^23]|20010[01]|20010db8|2002|3fff0)"
 
 
 def number4(address: str) -> int:
@@ -34,18 +36,34 @@ def ipv4_number(ip: Column) -> Column:
     return F.when(is_ipv4(ip), ((octets[0] * 256 + octets[1]) * 256 + octets[2]) * 256 + octets[3])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ipv6_hex(ip: Column) -> Column:
     """The address as 32 lower-case hexadecimal digits (IPv4 tails and one :: expanded); null if it is none."""
-    tail = F.regexp_extract(ip, f":({IPV4_TAIL})$", 1)
-    low = F.substring(F.lpad(F.hex(F.coalesce(ipv4_number(tail), F.lit(0))), 8, "0"), 1, 8)
-    plain = F.when(tail != "", F.concat(F.substring(ip, F.lit(1), F.length(ip) - F.length(tail)), F.substring(low, 1, 4), F.lit(":"), F.substring(low, 5, 4))).otherwise(ip)
-    halves = F.split(F.lower(plain), "::", -1)
-    groups = lambda c: F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, ":"))
-    left, right = groups(halves[0]), groups(F.coalesce(F.try_element_at(halves, F.lit(2)), F.lit("")))
-    gap = F.lit(8) - F.size(left) - F.size(right)
-    filled = F.when(F.size(halves) == 2, F.concat(left, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), right)).otherwise(left)
-    sound = ip.contains(":") & (F.size(halves) <= 2) & (F.size(filled) == 8) & ((F.size(halves) == 1) | (gap >= 1)) & F.forall(filled, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-    return F.when(sound, F.array_join(F.transform(filled, lambda g: F.lpad(g, 4, "0")), ""))
+
+    def from_text(text: Column) -> Column:
+        return F.when(text.contains(":"), let(F.regexp_extract(text, f":({IPV4_TAIL})$", 1), lambda tail: let(without_tail(text, tail), from_plain)))
+
+    def without_tail(text: Column, tail: Column) -> Column:
+        low = let(F.split(tail, r"\."), lambda t: F.array_join(F.transform(t, lambda x: F.lpad(F.hex(x.try_cast("long")), 2, "0")), ""))
+        return F.lower(F.when(tail != "", let(low, lambda h: F.concat(F.substring(text, F.lit(1), F.length(text) - F.length(tail)), F.substring(h, 1, 4), F.lit(":"), F.substring(h, 5, 4)))).otherwise(text))
+
+    def groups(half: Column) -> Column:
+        return F.when(F.coalesce(half, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(half, ":"))
+
+    def from_plain(plain: Column) -> Column:
+        return let(F.split(plain, "::", -1), lambda h: let(F.struct(F.size(h).alias("n"), groups(F.get(h, F.lit(0))).alias("a"), groups(F.get(h, F.lit(1))).alias("b")), from_halves))
+
+    def from_halves(x: Column) -> Column:
+        gap = F.lit(8) - F.size(x["a"]) - F.size(x["b"])
+        filled = F.when(x["n"] == 2, F.concat(x["a"], F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), x["b"])).otherwise(x["a"])
+        sound = lambda g: (x["n"] <= 2) & (F.size(g) == 8) & ((x["n"] == 1) | (gap >= 1)) & F.forall(g, lambda y: y.rlike("^[0-9a-f]{1,4}$"))
+        return let(filled, lambda g: F.when(sound(g), F.array_join(F.transform(g, lambda y: F.lpad(y, 4, "0")), "")))
+
+    return let(ip, from_text)
 
 
 def is_ip(ip: Column) -> Column:
@@ -53,11 +71,14 @@ def is_ip(ip: Column) -> Column:
 
 
 def in_ranges(ip: Column, ranges: list[tuple[str, int]]) -> Column:
-    n, hit = ipv4_number(ip), F.lit(False)
-    for network, bits in ranges:
-        low = number4(network)
-        hit = hit | n.between(low, low + (1 << (32 - bits)) - 1)
-    return F.coalesce(hit, F.lit(False))
+    def inside(n: Column) -> Column:
+        hit = F.lit(False)
+        for network, bits in ranges:
+            low = number4(network)
+            hit = hit | n.between(low, low + (1 << (32 - bits)) - 1)
+        return F.coalesce(hit, F.lit(False))
+
+    return let(ipv4_number(ip), inside)
 
 
 def is_internal(ip: Column) -> Column:
@@ -67,8 +88,8 @@ def is_internal(ip: Column) -> Column:
 
 def is_public(ip: Column) -> Column:
     """Whether an address, of either version, may be looked up: none of the special ranges."""
-    six = ipv6_hex(ip)
-    return (is_ipv4(ip) & ~in_ranges(ip, SPECIAL4)) | (six.isNotNull() & ~F.coalesce(six.rlike(SPECIAL6), F.lit(True)))
+    six = let(ipv6_hex(ip), lambda h: h.isNotNull() & ~F.coalesce(h.rlike(SPECIAL6), F.lit(True)))
+    return (is_ipv4(ip) & ~in_ranges(ip, SPECIAL4)) | six
 
 
 def label_suffixes(domain: Column) -> Column:

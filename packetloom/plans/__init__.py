@@ -1,4 +1,5 @@
-"""Registered queries over the driver tables, each with its SQL where SQL can express it."""
+"""Registered queries and end-to-end runs."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from .queries import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]

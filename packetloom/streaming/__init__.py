@@ -1 +1 @@
-
+"""The telemetry pipeline over streams."""
