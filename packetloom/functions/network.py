@@ -71,14 +71,15 @@ def is_ip(ip: Column) -> Column:
 
 
 def in_ranges(ip: Column, ranges: list[tuple[str, int]]) -> Column:
-    def inside(n: Column) -> Column:
-        hit = F.lit(False)
-        for network, bits in ranges:
-            low = number4(network)
-            hit = hit | n.between(low, low + (1 << (32 - bits)) - 1)
-        return F.coalesce(hit, F.lit(False))
+    return let(ipv4_number(ip), lambda n: number_in(n, ranges))
 
-    return let(ipv4_number(ip), inside)
+
+def number_in(n: Column, ranges: list[tuple[str, int]]) -> Column:
+    hit = F.lit(False)
+    for network, bits in ranges:
+        low = number4(network)
+        hit = hit | n.between(low, low + (1 << (32 - bits)) - 1)
+    return F.coalesce(hit, F.lit(False))
 
 
 def is_internal(ip: Column) -> Column:
@@ -87,8 +88,9 @@ def is_internal(ip: Column) -> Column:
 
 
 def is_public(ip: Column) -> Column:
-    """Whether an address, of either version, may be looked up: none of the special ranges."""
-    six = let(ipv6_hex(ip), lambda h: h.isNotNull() & ~F.coalesce(h.rlike(SPECIAL6), F.lit(True)))
+    """Whether an address, of either version, may be looked up: none of the special ranges. IPv4 mapped into IPv6 is judged as IPv4."""
+    mapped = lambda h: ~number_in(F.conv(F.substring(h, 25, 8), 16, 10).cast("long"), SPECIAL4)
+    six = let(ipv6_hex(ip), lambda h: F.when(h.isNull(), False).when(h.startswith("0" * 20 + "ffff"), mapped(h)).otherwise(~h.rlike(SPECIAL6)))
     return (is_ipv4(ip) & ~in_ranges(ip, SPECIAL4)) | six
 
 

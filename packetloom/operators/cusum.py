@@ -17,11 +17,11 @@ KEY = "series"
 
 
 def fit(df: DataFrame, value: str, k_factor: float = 0.5, h_factor: float = 5.0, key: Sequence[str] = ()) -> DataFrame:
-    """(key..., target, std, k, h): population deviation, 1e-10 if it is zero; nulls and NaN do not count."""
+    """(key..., target, std, slack, limit): population deviation, 1e-10 if it is zero; nulls and NaN do not count."""
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     agg = rows.groupBy(*key).agg(F.avg(value).alias("target"), F.stddev_pop(value).alias("s"))
     std = F.when(F.col("s") == 0, 1e-10).otherwise(F.col("s"))
-    return agg.select(*key, "target", std.alias("std"), (std * k_factor).alias("k"), (std * h_factor).alias("h"))
+    return agg.select(*key, "target", std.alias("std"), (std * k_factor).alias("slack"), (std * h_factor).alias("limit"))
 
 
 def walk(x: np.ndarray, target: float, k: float, h: float) -> tuple[np.ndarray, ...]:
@@ -53,14 +53,15 @@ def detect(df: DataFrame, model: DataFrame, time: str, value: str, key: Sequence
     """
     keys = list(key)
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, F.col(time).alias("_t"), F.col(value).cast("double").alias("_x"))
-    rows = rows.join(F.broadcast(model), keys) if keys else rows.join(F.broadcast(model))  # without a key the model is one row
+    model = model.select(*keys, F.col("target").alias("_target"), F.col("slack").alias("_slack"), F.col("limit").alias("_limit"))
+    rows = rows.join(model, keys) if keys else rows.join(F.broadcast(model))  # without a key the model is one row
     if not keys:
         rows = rows.withColumn(KEY, F.lit(0))
     group = keys or [KEY]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_t", "_x"], ignore_index=True)
-        up, low, way, pre, post = walk(pdf["_x"].to_numpy(), *(float(pdf[c][0]) for c in ("target", "k", "h")))
+        up, low, way, pre, post = walk(pdf["_x"].to_numpy(), *(float(pdf[c][0]) for c in ("_target", "_slack", "_limit")))
         name = np.where(way > 0, "increase", np.where(way < 0, "decrease", None))
         out = {"index": np.arange(len(pdf)), time: pdf["_t"], "value": pdf["_x"], "upper": up, "lower": low, "change": way != 0, "direction": name, "pre_mean": pre, "post_mean": post}
         return pd.DataFrame({**{k: pdf[k] for k in keys}, **out}).astype({"direction": object})
@@ -91,7 +92,7 @@ def no_reset(df: DataFrame, model: DataFrame, time: str, value: str) -> DataFram
     """Adds upper and lower sums without reset: a prefix sum minus its running minimum, in windows alone."""
     w = Window.orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
     rows = df.where(F.col(value).isNotNull()).join(F.broadcast(model))
-    sums = rows.withColumns({"_p": F.sum(F.col(value) - F.col("target") - F.col("k")).over(w), "_q": F.sum(F.col("target") - F.col(value) - F.col("k")).over(w)})
+    sums = rows.withColumns({"_p": F.sum(F.col(value) - F.col("target") - F.col("slack")).over(w), "_q": F.sum(F.col("target") - F.col(value) - F.col("slack")).over(w)})
     return sums.withColumns({"upper": F.col("_p") - F.least(F.lit(0.0), F.min("_p").over(w)), "lower": F.col("_q") - F.least(F.lit(0.0), F.min("_q").over(w))}).drop("_p", "_q", "std")
 
 

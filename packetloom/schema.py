@@ -3,23 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType, TimestampType
+
+TYPES = {"string": StringType(), "long": LongType(), "double": DoubleType(), "boolean": BooleanType(), "timestamp": TimestampType()}
+
+
+def fields(text: str) -> StructType:
+    """A schema from "name type, ..." (a type of TYPES, or type[]); unlike DDL it needs no session, so modules import without one."""
+    pairs = (part.split() for part in text.split(","))
+    return StructType([StructField(name, ArrayType(TYPES[kind[:-2]]) if kind.endswith("[]") else TYPES[kind]) for name, kind in pairs])
+
 
 # Field names and types of the logs, the unified schema and the common event schema.
-CONN = StructType.fromDDL("""
-    ts timestamp, uid string, `id.orig_h` string, `id.orig_p` long, `id.resp_h` string, `id.resp_p` long, proto string, service string,
+CONN = fields("""
+    ts timestamp, uid string, id.orig_h string, id.orig_p long, id.resp_h string, id.resp_p long, proto string, service string,
     duration double, orig_bytes long, resp_bytes long, conn_state string, missed_bytes long, history string, orig_pkts long,
     resp_pkts long, orig_ip_bytes long, resp_ip_bytes long
 """)
-DNS = StructType.fromDDL("""
-    ts timestamp, uid string, `id.orig_h` string, `id.orig_p` long, `id.resp_h` string, `id.resp_p` long, proto string, trans_id long,
+DNS = fields("""
+    ts timestamp, uid string, id.orig_h string, id.orig_p long, id.resp_h string, id.resp_p long, proto string, trans_id long,
     rtt double, query string, qclass long, qclass_name string, qtype long, qtype_name string, rcode long, rcode_name string, AA boolean,
-    TC boolean, RD boolean, RA boolean, Z long, answers array<string>, TTLs array<double>, rejected boolean
+    TC boolean, RD boolean, RA boolean, Z long, answers string[], TTLs double[], rejected boolean
 """)
-UNIFIED = StructType.fromDDL("""
+UNIFIED = fields("""
     timestamp timestamp, log_type string, uid string, src_ip string, src_port long, dst_ip string, dst_port long, protocol string,
     service string, duration_sec double, bytes_sent long, bytes_recv long, packets_sent long, packets_recv long, conn_state string,
-    dns_query string, dns_qtype string, dns_rcode string, dns_answers array<string>
+    dns_query string, dns_qtype string, dns_rcode string, dns_answers string[]
 """)
 LOGS = {"conn": CONN, "dns": DNS}
 TIMESTAMPS = ("ts", "start_time", "end_time")

@@ -16,7 +16,7 @@ def read_feed(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """(indicator, kind, source): lines without comments and blanks, lower-cased; kind "ip" or "domain" (leading dots stripped)."""
     text = F.lower(F.trim(F.split("value", "#", 2)[0]))
     if kind == "domain":
-        text = F.ltrim(F.lit("."), text)
+        text = F.ltrim(text, F.lit("."))
     lines = spark.read.text(path).select(text.alias("indicator"), F.lit(kind).alias("kind"), F.col("_metadata.file_name").alias("source"))
     return lines.where("indicator <> ''")
 
