@@ -156,7 +156,7 @@ class Tree:
         size, context, symbol, n = (x[order] for x in (size, context, symbol, n))
         first = np.flatnonzero(np.append(True, (np.diff(size) != 0) | (np.diff(context) != 0))) if len(size) else size
         names = [int(c).to_bytes(int(k), "big") for k, c in zip(size[first], context[first], strict=True)]
-        rows = dict(zip(names, zip(first.tolist(), np.append(first[1:], len(size)).tolist(), strict=True), strict=True))
+        rows = dict(zip(names, zip(first.tolist(), np.append(first, len(size))[1:].tolist(), strict=True), strict=True))
         seen = sorted(set(symbol.tolist()) | {c for h in names for c in h})
         code = np.full(256, len(seen), np.int64)  # the last column: bytes never seen
         code[seen] = np.arange(len(seen))
