@@ -13,7 +13,8 @@ BROADCAST_ROWS = 1_000_000
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it has no more than limit rows: the size is checked, not assumed."""
+    """df, kept and marked for broadcast if it has no more than limit rows: the size is checked, not assumed, and not computed twice."""
+    df = df.persist()
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
