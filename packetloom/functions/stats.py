@@ -59,6 +59,3 @@ def ratio(top: Column, bottom: Column, otherwise: float | None = None) -> Column
 def percent(part: Column, whole: Column, otherwise: float | None = 0.0) -> Column:
     return ratio(part * 100.0, whole, otherwise)
 
-
-def traffic_light(rate: Column, red: float, amber: float) -> Column:
-    return F.when(rate > red, "HIGH").when(rate > amber, "ELEVATED").otherwise("NORMAL")

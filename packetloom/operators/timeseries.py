@@ -37,7 +37,7 @@ def bucket(df: DataFrame, width: str, time: str = "timestamp") -> DataFrame:
     size = round(seconds_of(width) * 1e6)
     day = 86_400_000_000
     at = micros(F.col(time))
-    if day % size == 0 or size % day == 0 and size == day:
+    if day % size == 0:
         start = at - F.pmod(at, F.lit(size))
         return df.withColumn("bucket", F.timestamp_micros(start))
     first = df.agg(F.min(time).alias("_first")).select((micros(F.col("_first")) - F.pmod(micros(F.col("_first")), F.lit(day))).alias("_origin"))

@@ -479,6 +479,42 @@ def workload_scenarios(spark, d):
     return calibrate.workload(calibrate.evaluate(scored(spark, d)), 100_000).select("target_recall", F.round("threshold", 6).alias("threshold"), "expected_daily_alerts", "expected_true_positives", "analysts_needed")
 
 
+@register("daily_alerts", f"SELECT round(t, 6) AS threshold, CAST(floor(100000 * ar) AS BIGINT) AS expected_total_alerts, CAST(floor(floor(100000 * ar) * pr) AS BIGINT) AS expected_true_positives, round(pr, 6) AS precision, round(re, 6) AS recall FROM ({F1_SQL}) ORDER BY abs(t - 0.5), t LIMIT 1")
+def daily_alerts(spark, d):
+    out = calibrate.daily_alerts(calibrate.evaluate(scored(spark, d)), 0.5, 100_000)
+    return out.select("threshold", "expected_total_alerts", "expected_true_positives", "precision", "recall").withColumns(r6("threshold", "precision", "recall"))
+
+
+@register("threshold_constrained", f"SELECT round(t, 6) AS threshold, round(re, 6) AS recall, round(fpr, 6) AS fpr FROM ({F1_SQL}) WHERE re >= 0.5 AND fpr <= 0.6 AND ar <= 0.6 ORDER BY pr DESC, t LIMIT 1")
+def threshold_constrained(spark, d):
+    return calibrate.optimum(calibrate.evaluate(scored(spark, d)), 0.5, 0.6, 0.6, "precision").select("threshold", "recall", "fpr").withColumns(r6("threshold", "recall", "fpr"))
+
+
+@register("strongest_period", "SELECT lag, correlation FROM (" + ORACLE["autocorr_lags"] + ") ORDER BY abs(correlation) DESC, lag LIMIT 1")
+def strongest_period(spark, d):
+    return timeseries.strongest_period(timeseries.autocorrelation(hourly(spark, d), "x")).withColumns(r6("correlation"))
+
+
+@register("service_counts", f"SELECT CASE WHEN bytes_recv % 3 = 0 THEN 'http' WHEN bytes_recv % 3 = 1 THEN 'ssl' END AS service, count(*) AS \"count\" FROM ({EVENTS_SQL}) WHERE protocol = 'click' GROUP BY 1")
+def service_counts(spark, d):
+    service = F.when(F.col("bytes_recv") % 3 == 0, "http").when(F.col("bytes_recv") % 3 == 1, "ssl")
+    return eda.distribution(events(spark, d).where("protocol = 'click'").withColumn("service", service), "service", drop_null=False).drop("percent")
+
+
+@register("unanswered_lookups", f"SELECT count(*) AS n FROM ({EVENTS_SQL}) WHERE dns_rcode = 'NXDOMAIN'")
+def unanswered_lookups(spark, d):
+    answers = F.when(F.col("dns_rcode") != "NXDOMAIN", F.array("dst_ip"))
+    return eda.unanswered(events(spark, d).withColumn("dns_answers", answers)).agg(F.count("*").alias("n"))
+
+
+TAIL_SQL = CUSUM_SQL.replace("s AS (SELECT CAST(connections AS DOUBLE) AS x, row_number() OVER (ORDER BY b) AS i, b FROM", "s0 AS (SELECT CAST(connections AS DOUBLE) AS x, row_number() OVER (ORDER BY b) AS i, b, floor(count(*) OVER () * 0.3) AS cut FROM").replace("m AS (SELECT avg(x) AS t, 0.5 * stddev_pop(x) AS k, 2 * stddev_pop(x) AS h FROM s)", "s AS (SELECT x, CAST(i - cut AS BIGINT) AS i, b FROM s0 WHERE i > cut), m AS (SELECT avg(x) AS t, 0.5 * stddev_pop(x) AS k, 2 * stddev_pop(x) AS h FROM s0 WHERE i <= cut)")
+
+
+@register("cusum_after_baseline", TAIL_SQL + "SELECT i - 1 AS index, round(u, 6) AS upper, round(l, 6) AS lower, u > h OR l > h AS change FROM w")
+def cusum_after_baseline(spark, d):
+    return cusum.detect_changes(hourly(spark, d), "bucket", "x", 0.5, 2.0).select("index", F.round("upper", 6).alias("upper"), F.round("lower", 6).alias("lower"), "change")
+
+
 @register("ip_validation", f"SELECT uid, true AS valid, NOT starts_with(dst_ip, '192.168.') AS public FROM ({EVENTS_SQL})")
 def ip_validation(spark, d):
     return events(spark, d).select("uid", is_ip(F.col("dst_ip")).alias("valid"), is_public(F.col("dst_ip")).alias("public"))

@@ -117,7 +117,7 @@ def read_available(spark: SparkSession, folder: str, strict: bool = False) -> di
     """The conn and dns logs of a folder. One may be missing (both, if strict, must exist); if both are, that is an error."""
     found = {kind: f"{folder}/{kind}.log" for kind in LOGS if exists(spark, f"{folder}/{kind}.log")}
     if not found or (strict and len(found) < len(LOGS)):
-        raise FileNotFoundError(f"{folder}: need {' and ' if strict else ' or '}".rstrip() + " conn.log, dns.log")
+        raise FileNotFoundError(f"{folder}: need conn.log {'and' if strict else 'or'} dns.log")
     return {kind: read_log(spark, path, LOGS[kind]) for kind, path in found.items()}
 
 
