@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from . import common
 
 LOW = np.uint64((1 << 24) - 1)
-GROUP = 1 << 20
+GROUP = 1 << 19
 
 
 class WordHash(dict):
-    def __init__(self, most: int = 600_000):
+    def __init__(self, most: int = 300_000):
         super().__init__()
         self.most = most
 
@@ -253,7 +253,7 @@ def contents(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_segments(docs: DataFrame, spots: DataFrame, window: int, minimizer_limit: int, shard_words: int) -> DataFrame:
-    """(mini, seg, mask): segments with windows that occur elsewhere, and which of their windows do (all bits: all)."""
+    """(mini, seg, mask), written: segments with windows that occur elsewhere, and which of their windows do (all bits: all)."""
     counted = common.cut(spots.groupBy("mini", "seg").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "print", "start", "n")).alias("at")))
     groups = counted.groupBy("mini").agg(F.count("*").alias("kinds"), F.min("times").alias("fewest")).where("kinds > 1 and fewest = 1")
     whole = counted.where("times > 1").select("mini", "seg", F.lit(-1).cast("long").alias("mask"))
@@ -281,7 +281,10 @@ def repeated_segments(docs: DataFrame, spots: DataFrame, window: int, minimizer_
     single = common.map_batches(hot.select("mini", "seg", "times", "data"), windows, "mini long, seg long, times long, k int, h long")
     often = single.groupBy("mini", "h").agg(F.sum("times").alias("all")).where(F.col("all") > 1)
     counted_windows = single.where("times = 1").join(often, ["mini", "h"]).groupBy("mini", "seg").agg(F.expr("bit_or(shiftleft(1L, k))").alias("mask"))
-    return whole.unionByName(searched).unionByName(counted_windows)
+    out = common.cut(whole.unionByName(searched).unionByName(counted_windows))
+    for part in (counted, known):
+        common.forget(docs.sparkSession, part)
+    return out
 
 
 def remove_repeats(
@@ -297,7 +300,7 @@ def remove_repeats(
         raise ValueError("a segment's windows must fit a 64-bit mask")
     rows = common.id_text(docs, id_col, text_col)
     spots = common.cut(positions(rows, window, run))
-    masks = common.cut(repeated_segments(rows, spots, window, minimizer_limit, shard_words))
+    masks = repeated_segments(rows, spots, window, minimizer_limit, shard_words)
     hits = spots.join(masks, ["mini", "seg"]).groupBy("doc_id", "print").agg(F.collect_list(F.struct("start", "n", "mask")).alias("hits")).withColumnsRenamed({"doc_id": "d", "print": "p"})
     joined = packed(rows).join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p")), "left").select("doc_id", "data", "hits")
 
