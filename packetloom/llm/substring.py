@@ -231,34 +231,41 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def contents(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """(mini, seg, n, data): the word hashes of the wanted segments (mini, seg, doc_id, print, start, n)."""
-    by_doc = wanted.groupBy("doc_id", "print").agg(F.collect_list(F.struct("mini", "seg", "start", "n")).alias("parts")).withColumnsRenamed({"doc_id": "d", "print": "p"})
+    """(mini, seg, times, kinds, n, data): the word hashes of the wanted segments (mini, seg, times, kinds, doc_id, print, start, n)."""
+    by_doc = wanted.groupBy("doc_id", "print").agg(F.collect_list(F.struct("mini", "seg", "times", "kinds", "start", "n")).alias("parts")).withColumnsRenamed({"doc_id": "d", "print": "p"})
     joined = packed(docs).join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p"))).select("data", "parts")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes, unzip = WordHash(), zstandard.ZstdDecompressor()
-        out: dict[str, list] = {"mini": [], "seg": [], "n": [], "data": []}
+        out: dict[str, list] = {"mini": [], "seg": [], "times": [], "kinds": [], "n": [], "data": []}
         for data, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words = unzip.decompress(data).split()
             for x in parts:
-                out["mini"].append(x["mini"])
-                out["seg"].append(x["seg"])
-                out["n"].append(x["n"])
+                for k in ("mini", "seg", "times", "kinds", "n"):
+                    out[k].append(x[k])
                 out["data"].append(hashes.of(words[x["start"] : x["start"] + x["n"] + window - 1]).tobytes())
         kinds = {"n": pa.int32(), "data": pa.binary()}
         return common.batch_of(**{k: (v, kinds.get(k, pa.int64())) for k, v in out.items()})
 
     # Repeated rows of one id and text bring a segment twice; one content is kept.
-    return common.map_batches(joined, run, "mini long, seg long, n int, data binary").dropDuplicates(["mini", "seg"])
+    return common.map_batches(joined, run, "mini long, seg long, times long, kinds long, n int, data binary").dropDuplicates(["mini", "seg"])
 
 
-def repeated_segments(docs: DataFrame, spots: DataFrame, window: int, minimizer_limit: int, shard_words: int) -> DataFrame:
+def flagged_positions(spots: DataFrame) -> DataFrame:
+    """The positions whose segment may repeat, with times (its copies), kinds (segments of its minimizer) and fewest (their least copies).
+
+    A segment alone under its minimizer and seen once repeats in no window: most positions end here, after an aggregation of two longs.
+    """
+    counted = spots.groupBy("mini", "seg").agg(F.count("*").alias("times"))
+    groups = counted.groupBy("mini").agg(F.count("*").alias("kinds"), F.min("times").alias("fewest"), F.sum("times").alias("all")).where("all > 1").drop("all")
+    return spots.join(counted.join(groups, "mini"), ["mini", "seg"])
+
+
+def repeated_segments(docs: DataFrame, flagged: DataFrame, window: int, minimizer_limit: int, shard_words: int) -> DataFrame:
     """(mini, seg, mask), written: segments with windows that occur elsewhere, and which of their windows do (all bits: all)."""
-    counted = common.cut(spots.groupBy("mini", "seg").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "print", "start", "n")).alias("at")))
-    groups = counted.groupBy("mini").agg(F.count("*").alias("kinds"), F.min("times").alias("fewest")).where("kinds > 1 and fewest = 1")
-    whole = counted.where("times > 1").select("mini", "seg", F.lit(-1).cast("long").alias("mask"))
-    mixed_up = counted.join(groups, "mini").select("mini", "seg", "times", "kinds", "at.*")
-    known = common.cut(contents(docs, mixed_up.select("mini", "seg", "doc_id", "print", "start", "n"), window).join(mixed_up.select("mini", "seg", "times", "kinds"), ["mini", "seg"]))
+    whole = flagged.where("times > 1").select("mini", "seg", F.lit(-1).cast("long").alias("mask")).distinct()
+    first = flagged.where("kinds > 1 and fewest = 1").groupBy("mini", "seg", "times", "kinds").agg(F.min(F.struct("doc_id", "print", "start", "n")).alias("at"))
+    known = common.cut(contents(docs, first.select("mini", "seg", "times", "kinds", "at.*"), window))
     usual, hot = known.where(F.col("kinds") <= minimizer_limit), known.where(F.col("kinds") > minimizer_limit)
     total = usual.agg(F.coalesce(F.sum(F.col("n") + window - 1), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_words))
@@ -282,8 +289,7 @@ def repeated_segments(docs: DataFrame, spots: DataFrame, window: int, minimizer_
     often = single.groupBy("mini", "h").agg(F.sum("times").alias("all")).where(F.col("all") > 1)
     counted_windows = single.where("times = 1").join(often, ["mini", "h"]).groupBy("mini", "seg").agg(F.expr("bit_or(shiftleft(1L, k))").alias("mask"))
     out = common.cut(whole.unionByName(searched).unionByName(counted_windows))
-    for part in (counted, known):
-        common.forget(docs.sparkSession, part)
+    common.forget(docs.sparkSession, known)
     return out
 
 
@@ -300,8 +306,10 @@ def remove_repeats(
         raise ValueError("a segment's windows must fit a 64-bit mask")
     rows = common.id_text(docs, id_col, text_col)
     spots = common.cut(positions(rows, window, run))
-    masks = repeated_segments(rows, spots, window, minimizer_limit, shard_words)
-    hits = spots.join(masks, ["mini", "seg"]).groupBy("doc_id", "print").agg(F.collect_list(F.struct("start", "n", "mask")).alias("hits")).withColumnsRenamed({"doc_id": "d", "print": "p"})
+    flagged = common.cut(flagged_positions(spots))
+    common.forget(docs.sparkSession, spots)
+    masks = repeated_segments(rows, flagged, window, minimizer_limit, shard_words)
+    hits = flagged.select("mini", "seg", "doc_id", "print", "start", "n").join(masks, ["mini", "seg"]).groupBy("doc_id", "print").agg(F.collect_list(F.struct("start", "n", "mask")).alias("hits")).withColumnsRenamed({"doc_id": "d", "print": "p"})
     joined = packed(rows).join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p")), "left").select("doc_id", "data", "hits")
 
     def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
