@@ -239,19 +239,20 @@ def islands(dealt: DataFrame, capacity: int, n_islands: int, rounds: int, genera
 
 def pack(
     docs: DataFrame, capacity: int = 4096, tokenizer: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text",
-    block_pieces: int = 4096, n_islands: int = 2, rounds: int = 2, generations: int = 6, population: int = 4,
+    block_pieces: int = 4096, n_islands: int = 2, rounds: int = 2, generations: int = 6, population: int = 4, keep_ids: bool = False,
 ) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row per piece of each input row.
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row per piece of each input row; keep_ids adds `ids`.
 
     Only documents over the capacity are cut. Blocks hold about block_pieces pieces, dealt by hash, so a task's memory does not grow with
     the corpus and each block wastes about a bin. Null and empty texts are the end id alone. Repeated rows and null ids are packed like
     any other. An empty table returns no row; extra columns are ignored.
     """
-    cut = common.cut(pieces(docs, capacity, tokenizer, end_id, id_col, text_col))
+    key = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
+    cut = common.cut(pieces(docs, capacity, tokenizer, end_id, id_col, text_col, keep_ids))
     blocks = max(1, -(-cut.count() // block_pieces))
     home = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks))
     # Rows that agree in every column are interchangeable: they are packed as one group of copies, told apart by number.
-    same = cut.groupBy("doc_id", "piece", "start", "length", "ids_crc32").count()
+    same = cut.groupBy(*key).count()
     rows = same.select("*", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("copy")).drop("count")
     rows = rows.withColumn("block", F.pmod(home + F.col("copy") - 1, F.lit(blocks)))
     numbered = common.cut(rows.withColumn("item", F.row_number().over(Window.partitionBy("block").orderBy("doc_id", "piece", "ids_crc32", "copy")).cast("long")))
@@ -259,7 +260,13 @@ def pack(
     within = Window.partitionBy("block", "bin").orderBy("item").rowsBetween(Window.unboundedPreceding, -1)
     placed = packed.withColumn("offset", F.coalesce(F.sum("length").over(within), F.lit(0)).cast("long")).drop("length")
     joined = numbered.join(placed, ["block", "item"])
-    return joined.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("block") * (1 << 32) + F.col("bin")).alias("sequence_id"), "offset")
+    return joined.select(*key, (F.col("block") * (1 << 32) + F.col("bin")).alias("sequence_id"), "offset")
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """(sequence_id, length, ids) of pack(..., keep_ids=True): each sequence's ids, little-endian 32-bit, in order of offset."""
+    line = F.expr("aggregate(array_sort(collect_list(struct(offset, ids))), cast('' as binary), (a, x) -> concat(a, x.ids))")  # a sequence's pieces alone
+    return packed.groupBy("sequence_id").agg(F.sum("length").alias("length"), line.alias("ids"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -221,6 +221,9 @@ def test_packing(docs, odd_docs, no_docs):
     assert n <= bound * 1.02 + 1
     packed_well(packing.pack(odd_docs, capacity=64, block_pieces=100).collect(), rows_of(odd_docs), 64)
     assert packing.pack(no_docs).count() == 0
+    lines = packing.sequences(packing.pack(odd_docs, keep_ids=True)).collect()
+    assert all(len(r.ids) == 4 * r.length <= 4 * 4096 for r in lines)
+    assert Counter(np.concatenate([np.frombuffer(r.ids, "<u4") for r in lines]).tolist()) == Counter(k for _, t in rows_of(odd_docs) for k in ids_of(t))
 
 
 @settings(max_examples=300, deadline=None)
