@@ -294,9 +294,10 @@ def repeated_segments(docs: DataFrame, flagged: DataFrame, window: int, minimize
 
 
 def remove_repeats(
-    docs: DataFrame, window: int = 35, run: int = 12, id_col: str = "doc_id", text_col: str = "text", minimizer_limit: int = 4096, shard_words: int = 1 << 20, keep_text: bool = False,
+    docs: DataFrame, window: int = 35, run: int = 12, id_col: str = "doc_id", text_col: str = "text", minimizer_limit: int = 4096, shard_words: int = 1 << 20, keep_text: bool = False, keep_spans: bool = False,
 ) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256), one row per input row; keep_text adds the kept words, one space apart, as `kept`.
+    """(doc_id, n_words, n_removed, kept_sha256), one row per input row; keep_text adds the kept words, one space apart, as `kept`,
+    keep_spans the removed intervals of words (ends exclusive) as `spans`.
 
     A word goes if a window of `window` words that covers it also starts anywhere else, in its own text or another. Null and empty texts,
     and those shorter than the window, lose nothing. Repeated rows are texts of their own, so their windows repeat; null ids are ids like
@@ -314,10 +315,11 @@ def remove_repeats(
 
     def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
         unzip = zstandard.ZstdDecompressor()
-        total, gone, digest, kept = [], [], [], []
+        total, gone, digest, kept, spans = [], [], [], [], []
         for data, hits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             words = unzip.decompress(data).split()
             total.append(len(words))
+            spans.append([])
             if hits:
                 change = np.zeros(len(words) + 1, np.int64)
                 for x in hits:
@@ -326,14 +328,18 @@ def remove_repeats(
                     change[at + window] -= 1
                 keep = np.cumsum(change)[:-1] == 0
                 words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
+                edge = np.flatnonzero(np.diff(np.concatenate([[True], keep, [True]]).astype(np.int8))).reshape(-1, 2)
+                spans[-1] = [{"start": a, "end": b} for a, b in edge.tolist()]
             text = b" ".join(words)
             gone.append(total[-1] - len(words))
             digest.append(hashlib.sha256(text).hexdigest())
             kept.append(text.decode() if keep_text else None)
         cols = {"doc_id": (batch.column(0), pa.int64()), "n_words": (total, pa.int64()), "n_removed": (gone, pa.int64()), "kept_sha256": (digest, pa.string())}
-        return common.batch_of(**cols, **({"kept": (kept, pa.string())} if keep_text else {}))
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        return common.batch_of(**cols, **({"kept": (kept, pa.string())} if keep_text else {}), **({"spans": (spans, kind)} if keep_spans else {}))
 
-    return common.map_batches(joined, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text + ", spans array<struct<start: long, end: long>>" * keep_spans
+    return common.map_batches(joined, finish, schema)
 
 
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,11 +175,11 @@ def test_substrings_against_brute_force(docs, odd_docs, window, run, limit, shar
 
 def test_substrings_edges(spark, no_docs):
     assert substring.remove_repeats(no_docs).count() == 0
-    text = " ".join("ab" * 1)  # a b
-    loop = " ".join(["a"] * 50)
-    rows = [(1, loop), (2, text)]
-    got = {r.doc_id: r.n_removed for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), keep_text=True).collect()}
-    assert got == {1: 50, 2: 0}
+    shared, loop = " ".join(f"s{k}" for k in range(40)), " ".join(["a"] * 50)
+    rows = [(1, loop), (2, "a b"), (3, f"x y {shared} z"), (4, f"{shared} {loop}")]
+    df = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), keep_text=True, keep_spans=True)
+    got = {r.doc_id: (r.n_removed, r.kept, [(x.start, x.end) for x in r.spans]) for r in df.collect()}
+    assert got == {1: (50, "", [(0, 50)]), 2: (0, "a b", []), 3: (40, "x y z", [(2, 42)]), 4: (90, "", [(0, 90)])}
 
 
 @settings(max_examples=60, deadline=None)
