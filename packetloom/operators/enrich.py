@@ -19,10 +19,13 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def hits(values: DataFrame, indicators: DataFrame, suffixes: bool) -> DataFrame:
-    """The distinct v that equal an indicator or, with suffixes, end in one at a label boundary. One column, v."""
+    """The distinct v that equal an indicator or, with suffixes, end in one at a label boundary. One column, v.
+
+    Both sides are distinct keys, so the strategy is left to adaptive execution, which sees their sizes.
+    """
     keys = values.select("v").where("v is not null").distinct()
     found = keys.select("v", F.explode(label_suffixes(F.col("v"))).alias("k")) if suffixes else keys.select("v", F.lower("v").alias("k"))
-    return found.join(small(indicators.select(F.col("indicator").alias("k"))), "k", "left_semi").select("v").distinct()
+    return found.join(indicators.select(F.col("indicator").alias("k")), "k", "left_semi").select("v").distinct()
 
 
 def flag(df: DataFrame, column: str, indicators: DataFrame, suffixes: bool, out: str) -> DataFrame:
