@@ -39,26 +39,33 @@ def evaluate(scored: DataFrame, label: str = "label", score: str = "score", n: i
     return c.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"), 0.0))
 
 
-def curve(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """(threshold, tp, fp, tpr, fpr, precision) at every distinct score, highest first: the points of both curves."""
-    by = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    down, every = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    out = by.select("threshold", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(every).alias("P"), F.sum("n").over(every).alias("N"))
-    return out.select("threshold", "tp", "fp", ratio(F.col("tp"), F.col("P")).alias("tpr"), ratio(F.col("fp"), F.col("N")).alias("fpr"), ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
+def counts_by_score(scored: DataFrame, label: str, score: str, slices: int) -> DataFrame:
+    """(s, p, n, p_below, n_below, p_all, n_all): positives and negatives at each distinct score, below it and in all.
+
+    Running sums are distributed: scores fall into equal slices of their range, slices are summed (at most `slices` rows), and a window
+    runs within each slice alone.
+    """
+    by = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
+    ends = by.agg(F.min("s").alias("a"), (F.max("s") - F.min("s")).alias("w"))
+    cell = F.when(F.col("w") > 0, F.least(F.floor((F.col("s") - F.col("a")) / F.when(F.col("w") > 0, F.col("w")).otherwise(1.0) * slices), F.lit(slices - 1))).otherwise(0)
+    rows = by.join(F.broadcast(ends)).withColumn("cell", cell.cast("int")).drop("a", "w")  # ends is one row
+    ahead, every = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    sums = rows.groupBy("cell").agg(F.sum("p").alias("cp"), F.sum("n").alias("cn"))
+    before = sums.select("cell", *[f for c in "pn" for f in (F.coalesce(F.sum(f"c{c}").over(ahead), F.lit(0)).alias(f"{c}_before"), F.sum(f"c{c}").over(every).alias(f"{c}_all"))])
+    within = Window.partitionBy("cell").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumns({f"{c}_inside": F.coalesce(F.sum(c).over(within), F.lit(0)) for c in "pn"}).join(F.broadcast(before), "cell")
+    return inside.select("s", "p", "n", *[(F.col(f"{c}_before") + F.col(f"{c}_inside")).alias(f"{c}_below") for c in "pn"], "p_all", "n_all")
+
+
+def curve(scored: DataFrame, label: str = "label", score: str = "score", slices: int = 4096) -> DataFrame:
+    """(threshold, tp, fp, tpr, fpr, precision) at every distinct score: the points of both curves."""
+    c = counts_by_score(scored, label, score, slices).select(F.col("s").alias("threshold"), (F.col("p_all") - F.col("p_below")).alias("tp"), (F.col("n_all") - F.col("n_below")).alias("fp"), "p_all", "n_all")
+    return c.select("threshold", "tp", "fp", ratio(F.col("tp"), F.col("p_all")).alias("tpr"), ratio(F.col("fp"), F.col("n_all")).alias("fpr"), ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
 
 
 def roc_auc(scored: DataFrame, label: str = "label", score: str = "score", slices: int = 4096) -> DataFrame:
-    """(positives, negatives, roc_auc), exact: ties count half. Scores are counted by value; the running sums are made by range slices of
-    the value's hash-free order, so no window holds more than a slice's distinct scores."""
-    by = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    ends = by.agg(F.min("s").alias("a"), F.max("s").alias("b"))
-    cell = F.when(F.col("b") > F.col("a"), F.least(F.floor((F.col("s") - F.col("a")) / F.when(F.col("b") > F.col("a"), F.col("b") - F.col("a")).otherwise(1.0) * slices), F.lit(slices - 1))).otherwise(0)
-    rows = by.join(F.broadcast(ends)).withColumn("cell", cell.cast("int"))
-    sums = rows.groupBy("cell").agg(F.sum("n").alias("cell_n"))
-    before = sums.select("cell", F.coalesce(F.sum("cell_n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"))  # `slices` rows at most
-    inside = F.coalesce(F.sum("n").over(Window.partitionBy("cell").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = rows.withColumn("inside", inside).join(F.broadcast(before), "cell")
-    agg = wins.agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.sum(F.col("p") * (F.col("below") + F.col("inside") + F.col("n") / 2.0)).alias("w"))
+    """(positives, negatives, roc_auc), exact: ties count half."""
+    agg = counts_by_score(scored, label, score, slices).agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.sum(F.col("p") * (F.col("n_below") + F.col("n") / 2.0)).alias("w"))
     return agg.select("positives", "negatives", ratio(F.col("w"), F.col("positives") * F.col("negatives").cast("double")).alias("roc_auc"))
 
 

@@ -21,7 +21,8 @@ def nxdomain():
 def distribution(df: DataFrame, column: str, drop_null: bool = True) -> DataFrame:
     """(column, count, percent): value counts; percent is of all rows, nulls included."""
     counts = df.groupBy(column).agg(F.count("*").alias("count"))
-    share = counts.withColumn("percent", F.col("count") * 100.0 / F.sum("count").over(Window.partitionBy()))
+    total = counts.agg(F.sum("count").alias("_total"))  # one row
+    share = counts.join(F.broadcast(total)).withColumn("percent", F.col("count") * 100.0 / F.col("_total")).drop("_total")
     return share.where(F.col(column).isNotNull()) if drop_null else share
 
 
