@@ -53,8 +53,10 @@ def nxdomain_sources(dns: DataFrame, first: int = 5) -> DataFrame:
     rows = dns.where(nxdomain())
     seen = rows.groupBy("src_ip", "dns_query").agg(F.count("uid").alias("n"), F.min("timestamp").alias("at"))
     place = F.row_number().over(Window.partitionBy("src_ip").orderBy(F.asc_nulls_last("at"), "dns_query"))
-    top = F.array_sort(F.collect_list(F.when((F.col("k") <= first) & F.col("dns_query").isNotNull(), F.struct("k", "dns_query"))))
-    out = seen.withColumn("k", place).groupBy("src_ip").agg(F.sum("n").alias("nxdomain_count"), F.count("dns_query").alias("unique_domains"), F.transform(top, lambda x: x["dns_query"]).alias("failed_domains"))
+    early = seen.where("dns_query is not null").withColumn("k", place).where(F.col("k") <= first)  # limited by group before the shuffle
+    named = early.groupBy("src_ip").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "dns_query"))), lambda x: x["dns_query"]).alias("failed_domains"))
+    counts = seen.groupBy("src_ip").agg(F.sum("n").alias("nxdomain_count"), F.count("dns_query").alias("unique_domains"))
+    out = counts.join(named, "src_ip", "left").withColumn("failed_domains", F.coalesce("failed_domains", F.array().cast("array<string>")))
     return out.orderBy(F.desc("nxdomain_count"), "src_ip")
 
 
