@@ -41,7 +41,7 @@ def reduced(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Windows:
     """Counts of byte windows, reduced as they grow."""
 
-    def __init__(self, depth: int, most: int = 3_000_000):
+    def __init__(self, depth: int, most: int = 1_500_000):
         self.depth, self.most, self.keys, self.counts, self.size = depth, most, [], [], 0
 
     def add(self, lines: list[bytes]) -> None:
@@ -101,8 +101,8 @@ def corpus_counts(docs: DataFrame, depth: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, windows, texts = Counter(), Windows(depth), 0
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
+            for a in range(0, batch.num_rows, 250):
+                part = batch.slice(a, 250)
                 blobs = [x for i, x in zip(part.column(0).to_pylist(), common.blobs(part.column(1)), strict=True) if not held_out(i)]
                 lines = []
                 for x in blobs:
@@ -111,7 +111,7 @@ def corpus_counts(docs: DataFrame, depth: int) -> DataFrame:
                     lines.append(b" ".join(found) + b"\n")
                 texts += len(lines)
                 windows.add(lines)
-                if len(words) > 600_000:
+                if len(words) > 400_000:
                     yield rows(words, None)
                     words = Counter()
         words[END.encode()] += texts
@@ -253,8 +253,8 @@ def score(
             cached.extend([often, Tree(code, step, logp, depth)])
         known, tree = cached
         for whole in batches:
-            for a in range(0, whole.num_rows, 1000):
-                batch = whole.slice(a, 1000)
+            for a in range(0, whole.num_rows, 500):
+                batch = whole.slice(a, 500)
                 ids = batch.column(0).to_pylist()
                 blobs = common.blobs(batch.column(1))
                 lines, n, part, hits, others = [], [], [], [], []
