@@ -294,7 +294,7 @@ def repeated_segments(docs: DataFrame, flagged: DataFrame, window: int, minimize
 
 
 def remove_repeats(
-    docs: DataFrame, window: int = 35, run: int = 12, id_col: str = "doc_id", text_col: str = "text", minimizer_limit: int = 4096, shard_words: int = 1 << 20, keep_text: bool = False, keep_spans: bool = False,
+    docs: DataFrame, window: int = 35, run: int = 12, id_col: str = "doc_id", text_col: str = "text", minimizer_limit: int = 4096, shard_words: int = 1 << 19, keep_text: bool = False, keep_spans: bool = False,
 ) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256), one row per input row; keep_text adds the kept words, one space apart, as `kept`,
     keep_spans the removed intervals of words (ends exclusive) as `spans`.
