@@ -19,15 +19,12 @@ def normal_sf(z: Column) -> Column:
     x = F.abs(z)
     density = F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
     # Series: cdf - 1/2 = density * (x + x^3/3 + x^5/15 + ...), folded from its last term.
-    series = F.lit(1.0)
-    for k in range(40, 0, -1):
-        series = F.lit(1.0) + series * x * x / (2 * k + 1)
+    down = lambda n: F.sequence(F.lit(n), F.lit(1), F.lit(-1))
+    series = F.aggregate(down(40), F.lit(1.0), lambda sum_, k: F.lit(1.0) + sum_ * x * x / (2 * k + 1))
     near = F.lit(0.5) - density * x * series
     # Continued fraction: sf = density / (x + 1/(x + 2/(x + 3/(x + ...)))).
     far = F.greatest(x, F.lit(2.5))
-    fraction = far
-    for k in range(80, 0, -1):
-        fraction = far + F.lit(float(k)) / fraction
+    fraction = F.aggregate(down(80), far, lambda rest, k: far + k / rest)
     upper = F.when(x == math.inf, 0.0).when(x < 2.5, near).otherwise(density / fraction)
     return F.when(z >= 0, upper).otherwise(F.lit(1.0) - upper)
 
