@@ -166,17 +166,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(found, "fp").select("doc_id", "fp", text.alias("fingerprint"), "component_id")
 
 
+def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, mark): mark is the text's hash."""
+    mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), mark.alias("mark"))
+
+
+def rows_kept(docs: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of docs for each (doc_id, mark) in the struct m of first."""
+    hidden = "_"
+    while any(c.lower().startswith(hidden) for c in docs.columns):
+        hidden += "_"
+    name, mark = F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    stay = first.select(F.coalesce(F.col("m.doc_id").cast("string"), F.lit("null")).alias(hidden + "i"), F.col("m.mark").alias(hidden + "m")).distinct()
+    tagged = docs.withColumns({hidden + "i": name, hidden + "m": mark})
+    kept = tagged.join(stay, [hidden + "i", hidden + "m"], "left_semi")
+    once = F.row_number().over(Window.partitionBy(hidden + "i", hidden + "m").orderBy(hidden + "i"))
+    return kept.withColumn(hidden + "n", once).where(F.col(hidden + "n") == 1).select(docs.columns)
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """The rows of docs, all columns kept, without near duplicates: of each class the row of smallest id stays.
 
     Null ids come after all others; of repeated rows, or of rows with one id, one stays in each class (that of the smallest text hash).
     Null and empty texts are one class. An empty table stays empty.
     """
-    hidden = "_"
-    while any(c.lower().startswith(hidden) for c in docs.columns):
-        hidden += "_"
-    name, mark = F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), mark.alias("mark"))
+    narrow = marked(docs, id_col, text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         got = b"".join([fingerprint(x, shingle) for x in common.blobs(batch.column(1))])
@@ -185,11 +200,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = common.cut(common.map_batches(narrow, run, "doc_id long, mark long, fp long"))
     found = classes(prints, radius)  # rows with one root share a component; the root is the class
     first = prints.join(found, "fp").groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "mark")).alias("m"))
-    stay = first.select(F.coalesce(F.col("m.doc_id").cast("string"), F.lit("null")).alias(hidden + "i"), F.col("m.mark").alias(hidden + "m")).distinct()
-    tagged = docs.withColumns({hidden + "i": name, hidden + "m": mark})
-    kept = tagged.join(stay, [hidden + "i", hidden + "m"], "left_semi")
-    once = F.row_number().over(Window.partitionBy(hidden + "i", hidden + "m").orderBy(hidden + "i"))
-    return kept.withColumn(hidden + "n", once).where(F.col(hidden + "n") == 1).select(docs.columns)
+    return rows_kept(docs, first, id_col, text_col)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import re
 
 import numpy as np
@@ -5,7 +6,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from packetloom.llm import common, simhash
+import corpus_pipeline
+from packetloom.llm import common, resemblance, simhash
 
 UPPER = {ord(a): ord(a) + 32 for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
@@ -104,3 +106,48 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "u long, v long")).count() == 0
     star = spark.range(1, 3000).select(F.col("id").alias("u"), F.lit(0).cast("long").alias("v"))
     assert common.components(star).where("root <> 0").count() == 0
+
+
+def shingles_of(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(UPPER))
+    return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def first_of_classes(rows):
+    """Brute force over all pairs; of each class the smallest id."""
+    sets = [shingles_of(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for k, a in enumerate(sets):
+        for j in range(k):
+            both = len(a & sets[j])
+            if a == sets[j] or both and both / (len(a) + len(sets[j]) - both) >= 0.8:
+                x, y = root[k], root[j]
+                root = [x if r == y else r for r in root]
+    least = {}
+    for r, (i, _) in zip(root, rows, strict=True):
+        least[r] = min(least.get(r, math.inf), math.inf if i is None else i)
+    return sorted(least.values())
+
+
+def test_the_pipeline_drops_texts_of_similarity_eight_tenths(spark, docs, odd_docs, no_docs, sf_dir):
+    rng = np.random.default_rng(5)
+    made = []
+    for k in range(30):  # a text and copies with ever more changed words: similarity from above 0.8 to below
+        words = [f"w{x}" for x in rng.integers(0, 5000, 100)]
+        for c in range(8):
+            made.append((10 * k + c, " ".join(words)))
+            words[10 * c + 5] = f"new{k}"
+    for df in (docs, odd_docs, spark.createDataFrame(made, "doc_id long, text string")):
+        kept = corpus_pipeline.drop_near_copies(spark, df, sf_dir)
+        assert kept.columns == df.columns
+        rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+        assert sorted(math.inf if r.doc_id is None else r.doc_id for r in kept.collect()) == first_of_classes(rows)
+    assert corpus_pipeline.drop_near_copies(spark, no_docs, sf_dir).count() == 0
+
+
+def test_bands_find_every_pair_of_similarity_eight_tenths():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        own = np.unique(rng.integers(0, 1 << 63, 108, np.uint64))
+        a, b = own[:99], np.concatenate([own[:88], own[99:]])  # 88 of 108 at least
+        assert (resemblance.bands(a) == resemblance.bands(b)).any()
