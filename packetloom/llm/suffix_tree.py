@@ -123,15 +123,14 @@ def corpus_counts(docs: DataFrame, depth: int) -> DataFrame:
     return docs.mapInArrow(run, "token string, gram long, n long")
 
 
-def contexts(grams: DataFrame, depth: int, least_share: float, least_gain: float) -> DataFrame:
+def contexts(grams: DataFrame, depth: int, least_count: int, least_gain: float) -> DataFrame:
     """(size, context, symbol, n): next-byte counts of the kept contexts, context as a number of `size` bytes.
 
-    A context needs least_share of all windows, so there are depth / least_share of them at most, whatever the corpus.
+    A context needs least_count windows, however many there are in all, so more text keeps more contexts.
     """
-    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     levels = F.array(*[F.struct(F.lit(k).alias("size"), F.expr(f"shiftrightunsigned(gram, 8) & {(1 << 8 * k) - 1}L").alias("context")) for k in range(depth + 1)])
     every = grams.select("n", F.expr("gram & 255").alias("symbol"), F.explode(levels).alias("c")).groupBy("c.size", "c.context", "symbol").agg(F.sum("n").alias("n"))
-    sums = every.groupBy("size", "context").agg(F.sum("n").alias("total")).where(F.col("total") >= F.lit(least_share * total))
+    sums = every.groupBy("size", "context").agg(F.sum("n").alias("total")).where(F.col("total") >= least_count)
     held = common.cut(every.join(sums, ["size", "context"]))
     parent = held.select((F.col("size") + 1).alias("size"), F.col("context").alias("suffix"), "symbol", (F.col("n") / F.col("total")).alias("q"))
     suffix: Column = F.expr("context & (shiftleft(1L, 8 * (size - 1)) - 1)")
@@ -220,12 +219,12 @@ class Tree:
 
 
 def score(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, least_share: float = 2e-6, least_gain: float = 16.0, token_share: float = 1e-6,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, least_count: int = 32, least_gain: float = 16.0, token_share: float = 1e-6,
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per input row.
 
-    Rows with crc32(doc_id as text) mod 7 = 2 are never learned from. Tokens are A-Z-lower-cased words and one end. The suffix tree's size
-    is bounded by depth / least_share. For the base score, counts of tokens with token_share of all (so 1 / token_share at most) are
+    Rows with crc32(doc_id as text) mod 7 = 2 are never learned from. Tokens are A-Z-lower-cased words and one end. The suffix tree
+    grows with the corpus: contexts seen least_count times take part. For the base score, counts of tokens with token_share of all (so 1 / token_share at most) are
     broadcast and those of the others joined. depth is 1 to 7.
 
     Null and empty texts are the end alone. A null id is a training row. Repeated rows count and return each. With no training row the
@@ -238,7 +237,7 @@ def score(
     size, total = tokens.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     often = tokens.where(F.col("c") >= F.lit(token_share * total)).toArrow()
     often = dict(zip(common.blobs(often.column(0)), np.log10(often.column(1).to_numpy() + 1.0).tolist(), strict=True))
-    found = contexts(counted.where("gram is not null").select("gram", "n"), depth, least_share, least_gain)
+    found = contexts(counted.where("gram is not null").select("gram", "n"), depth, least_count, least_gain)
     arrays = found.toArrow()
     tree = Tree.build(*[arrays.column(k).to_numpy() for k in range(4)], depth)
     del arrays

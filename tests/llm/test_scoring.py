@@ -80,6 +80,17 @@ def test_model_beats_word_counts_on_held_out_texts(spark, sf_dir):
     assert got.score.sum() > got.base_score.sum() and (got.score > got.base_score).mean() > 0.7
 
 
+def test_contexts_do_not_vanish_as_the_corpus_grows(spark):
+    rare, common = b"qu", b"th"
+    seen = lambda t, n: (int.from_bytes(t, "big"), n)
+    some = [seen(rare + b"i", 40), seen(common + b"e", 60), seen(b"aab", 50)]
+    more = some[:1] + [seen(common + b"e", 60_000_000), seen(b"aab", 50_000_000)]
+    for rows in (some, more):
+        grams = spark.createDataFrame(rows, "gram long, n long")
+        kept = {(r.size, r.context) for r in suffix_tree.contexts(grams, 2, 32, 16.0).collect()}
+        assert (1, rare[1]) in kept
+
+
 def test_score_empty(no_docs):
     assert suffix_tree.score(no_docs).count() == 0
 
