@@ -93,12 +93,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes what cut() wrote for df, once nothing reads it any more."""
+def forget(spark: SparkSession, *frames: DataFrame) -> None:
+    """Deletes what cut() wrote for the frames, once nothing reads them any more."""
     jvm = spark.sparkContext._jvm
-    for f in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(f.rsplit("/", 1)[0])
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for df in frames:
+        for f in df.inputFiles()[:1]:
+            path = jvm.org.apache.hadoop.fs.Path(f.rsplit("/", 1)[0])
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

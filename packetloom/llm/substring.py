@@ -1,12 +1,12 @@
 """Substring dedup: words under windows that occur elsewhere, found with compressed FM-indexes, one for each shard.
 
 A window's minimizer (the least hash of its 12-word runs, leftmost first) depends on its words alone, so equal windows meet under equal
-minimizers. A maximal run of windows with one minimizer is a segment. Segments are counted by content before anything is gathered: a
-segment seen twice repeats in all its windows, and one whose minimizer no other segment has repeats in none. What is left, different
-segments of one minimizer, is dealt into shards of a bounded size. Each shard builds an FM-index (burrows-wheeler transform in a wavelet
-matrix of packed bits) of its segments; then the segments are streamed against it: backward search gives the maximal intervals that
-occur twice, and those of a window's length or more are reported. Minimizers with very many segments take counts of window hashes
-instead, which split over tasks by hash.
+minimizers. A maximal run of windows with one minimizer is a segment. Copies of a segment collapse to one with a multiplicity; a segment
+alone under its minimizer and without copies cannot share a window and goes no further. All others are dealt into shards of a bounded
+size by minimizer. Each shard builds an FM-index (burrows-wheeler transform in a wavelet matrix of packed bits, with the multiplicities
+and common prefixes in suffix order); then its segments are streamed through backward search, which gives the matching statistics: at
+each position the longest match that occurs twice or more. Those of a window's length or more are reported. The segments of a minimizer
+too frequent for one shard are cut into their windows, which are dealt by their own hashes and searched in the same way.
 
 Words are compared by 64-bit hashes, segments by two of them.
 """
@@ -85,7 +85,7 @@ class Wavelet:
             bit = ((seq >> level) & 1).astype(bool)
             packed = np.packbits(np.append(bit, np.zeros(-len(bit) % 64 + 64, bool)), bitorder="little").view(np.uint64)
             self.words.append(packed)
-            self.counts.append(np.append(0, np.cumsum(np.bitwise_count(packed), dtype=np.int64))[:-1])
+            self.counts.append(np.append(0, np.cumsum(np.bitwise_count(packed), dtype=np.int64))[:-1].astype(np.uint32))
             self.zeros.append(int(len(bit) - bit.sum()))
             seq = np.concatenate([seq[~bit], seq[bit]])
 
@@ -99,22 +99,23 @@ class Wavelet:
 
 
 class FMIndex:
-    """Counts occurrences of word sequences in a set of segments by backward search."""
+    """Matching statistics of word sequences over a set of segments with multiplicities, by backward search."""
 
-    def __init__(self, parts: list[np.ndarray]):
-        sizes = np.array([len(x) for x in parts])
+    def __init__(self, parts: list[np.ndarray], times: np.ndarray):
+        self.sizes = np.array([len(x) for x in parts])
         self.symbols, coded = np.unique(np.concatenate(parts), return_inverse=True)
-        owner = np.repeat(np.arange(len(parts)), sizes)
-        self.start = np.cumsum(sizes + 1) - sizes - 1
-        self.text = np.zeros(int(sizes.sum()) + len(parts), np.int64)  # 0 ends each segment
+        owner = np.repeat(np.arange(len(parts)), self.sizes)
+        self.start = np.cumsum(self.sizes + 1) - self.sizes - 1
+        self.text = np.zeros(int(self.sizes.sum()) + len(parts), np.int64)  # 0 ends each segment
         self.text[np.arange(len(coded)) + owner] = coded + 1
-        n = len(self.text)
+        self.n = n = len(self.text)
         rank = np.where(self.text > 0, self.text + len(parts), 0)
-        rank[self.start + sizes] = np.arange(len(parts))  # ends differ, so no suffix is another's start
-        step = 1
+        rank[self.start + self.sizes] = np.arange(len(parts))  # ends differ, so no suffix is another's start
+        ranks, step = [], 1
         while True:
+            ranks.append(rank)
             key = rank * (n + len(self.symbols) + len(parts) + 2) + np.append(rank[step:] + 1, np.zeros(min(step, n), np.int64))[:n]
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             sorted_key = key[order]
             new = np.append(0, np.cumsum(sorted_key[1:] != sorted_key[:-1]))
             rank = np.empty(n, np.int64)
@@ -122,58 +123,67 @@ class FMIndex:
             step *= 2
             if new[-1] == n - 1:
                 break
+        self.lows = self._common_prefixes(order, ranks)
+        self.weight = np.append(0, np.cumsum(np.repeat(times, self.sizes + 1)[order]))
         bwt = self.text[order - 1]
         self.first = np.append(0, np.cumsum(np.bincount(self.text, minlength=len(self.symbols) + 1)))[:-1]
         self.tree = Wavelet(bwt, max(1, int(len(self.symbols)).bit_length()))
         every = np.arange(len(self.symbols) + 1)
         self.shift = self.first - self.tree.place(every, np.zeros(len(every), np.int64))
-        self.n = n
+
+    def _common_prefixes(self, order: np.ndarray, ranks: list[np.ndarray]) -> list[np.ndarray]:
+        """Minima over 2^k neighbours of the lengths that suffixes share with the one before in order; -1 at both ends."""
+        a, b, shared = order[:-1].copy(), order[1:].copy(), np.zeros(self.n - 1, np.int64)
+        for k in range(len(ranks) - 1, -1, -1):
+            same = ranks[k][a] == ranks[k][b]
+            for x in (a, b, shared):
+                x += same << k
+        lows = [np.concatenate([[-1], shared, [-1]]).astype(np.int32)]
+        while 2 << (len(lows) - 1) <= len(lows[0]):
+            half = 1 << (len(lows) - 1)
+            lows.append(np.minimum(lows[-1][:-half], lows[-1][half:]))
+        return lows
 
     def back(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The suffix range of symbol + pattern, from that of the pattern."""
         got = self.tree.place(np.concatenate([symbol, symbol]), np.concatenate([low, high])) + np.tile(self.shift[symbol], 2)
         return got[: len(symbol)], got[len(symbol) :]
 
-    def repeated(self, which: np.ndarray, sizes: np.ndarray, window: int) -> np.ndarray:
-        """For each of the index's own segments in `which`: a bit mask of its windows that occur twice or more in the index.
-
-        All segments step together, one backward step at a time. Each tests the range [p, e): reached whole, all its windows repeat and
-        e grows (doubling, then halving); failed at q, [q, e) occurs once, so with no step left to halve p moves beyond q.
+    def shorter(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The longest start of a pattern with more suffixes than its own range: that range and the start's length."""
+        size = np.maximum(np.maximum(self.lows[0][low], self.lows[0][high]), 0)
+        low, high = low.copy(), high.copy()
+        for k in range(len(self.lows) - 1, -1, -1):
+            row, span = self.lows[k], 1 << k
+            at = low - span + 1
+            low -= np.where((at >= 0) & (row[np.maximum(at, 0)] >= size), span, 0)
+            high += np.where((high < len(row)) & (row[np.minimum(high, len(row) - 1)] >= size), span, 0)
+        return low, high, size
+
+    def repeats(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(segment, position, length): the matching statistics of the index's own segments that reach `least`.
+
+        All segments step together, from their last word to the first: a word is put before the match if the result still occurs twice,
+        else the match loses words at its end until one can be. A segment is done once no match of `least` can begin in what is left.
         """
-        base, n = self.start[which], sizes
-        mask = np.zeros(len(which), np.int64)
-        p, good, step = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64), n - window  # the first test: all of it
-        e = n.copy()
-        i, low, high = e.copy(), np.zeros(len(which), np.int64), np.full(len(which), self.n)
-        live = np.arange(len(which))
-        good[:] = window - 1
+        which, at, size = np.arange(len(self.sizes)), self.sizes.copy(), np.zeros(len(self.sizes), np.int64)
+        low, high = np.zeros(len(which), np.int64), np.full(len(which), self.n)
+        found: list[tuple[np.ndarray, ...]] = []
+        live = which[self.sizes >= least]
         while len(live):
-            at = i[live] - 1
-            low[live], high[live] = self.back(self.text[base[live] + at], low[live], high[live])
-            i[live] = at
-            twice = high[live] - low[live] >= 2
-            won, lost = live[twice & (at == p[live])], live[~twice]
-            if len(won):
-                count = e[won] - p[won] - window + 1
-                mask[won] |= ((np.int64(1) << count) - 1) << p[won]
-                good[won] = e[won]
-                step[won] = np.where(step[won] > 0, step[won] * 2, 1)
-                e[won] = np.where(good[won] == n[won], n[won] + 1, np.minimum(good[won] + step[won], n[won]))
-            if len(lost):
-                far = lost[e[lost] - good[lost] > 1]
-                step[far] = (e[far] - good[far]) // 2
-                e[far] = good[far] + step[far]
-                step[far] //= 2
-                near = lost[e[lost] - good[lost] <= 1] if not len(far) else np.setdiff1d(lost, far, assume_unique=True)
-                p[near] = i[near] + 1
-                good[near] = np.maximum(good[near], p[near] + window - 1)
-                step[near] = 0
-                e[near] = good[near] + 1
-            done = np.concatenate([won, lost])
-            i[done], low[done], high[done] = e[done], 0, self.n
-            if len(done):
-                live = live[e[live] <= n[live]]
-        return mask
+            a, b = self.back(self.text[self.start[live] + at[live] - 1], low[live], high[live])
+            grows = self.weight[b] - self.weight[a] >= 2
+            won, lost = live[grows], live[~grows]
+            low[won], high[won] = a[grows], b[grows]
+            at[won] -= 1
+            size[won] += 1
+            long = won[size[won] >= least]
+            found.append((long, at[long], size[long]))
+            at[lost[size[lost] == 0]] -= 1
+            lost = lost[size[lost] > 0]
+            low[lost], high[lost], size[lost] = self.shorter(low[lost], high[lost])
+            live = live[(at[live] > 0) & (at[live] + size[live] >= least)]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (which[:0],) * 3
 
 
 def positions(docs: DataFrame, window: int, run: int) -> DataFrame:
@@ -231,77 +241,93 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def contents(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """(mini, seg, times, kinds, n, data): the word hashes of the wanted segments (mini, seg, times, kinds, doc_id, print, start, n)."""
-    by_doc = wanted.groupBy("doc_id", "print").agg(F.collect_list(F.struct("mini", "seg", "times", "kinds", "start", "n")).alias("parts")).withColumnsRenamed({"doc_id": "d", "print": "p"})
+    """(mini, seg, times, data): the word hashes of the wanted segments (mini, seg, times, doc_id, print, start, n), one row each."""
+    by_doc = wanted.groupBy("doc_id", "print").agg(F.collect_list(F.struct("mini", "seg", "times", "start", "n")).alias("parts")).withColumnsRenamed({"doc_id": "d", "print": "p"})
     joined = packed(docs).join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p"))).select("data", "parts")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes, unzip = WordHash(), zstandard.ZstdDecompressor()
-        out: dict[str, list] = {"mini": [], "seg": [], "times": [], "kinds": [], "n": [], "data": []}
+        out: dict[str, list] = {"mini": [], "seg": [], "times": [], "data": []}
         for data, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words = unzip.decompress(data).split()
             for x in parts:
-                for k in ("mini", "seg", "times", "kinds", "n"):
+                for k in ("mini", "seg", "times"):
                     out[k].append(x[k])
                 out["data"].append(hashes.of(words[x["start"] : x["start"] + x["n"] + window - 1]).tobytes())
-        kinds = {"n": pa.int32(), "data": pa.binary()}
-        return common.batch_of(**{k: (v, kinds.get(k, pa.int64())) for k, v in out.items()})
+        return common.batch_of(**{k: (v, pa.binary() if k == "data" else pa.int64()) for k, v in out.items()})
 
-    # Repeated rows of one id and text bring a segment twice; one content is kept.
-    return common.map_batches(joined, run, "mini long, seg long, times long, kinds long, n int, data binary").dropDuplicates(["mini", "seg"])
+    return common.map_batches(joined, run, "mini long, seg long, times long, data binary")
 
 
 def flagged_positions(spots: DataFrame) -> DataFrame:
-    """The positions whose segment may repeat, with times (its copies), kinds (segments of its minimizer) and fewest (their least copies).
+    """The positions whose segment may repeat, with times (its copies) and kinds (segments of its minimizer).
 
     A segment alone under its minimizer and seen once repeats in no window: most positions end here, after an aggregation of two longs.
     """
     counted = spots.groupBy("mini", "seg").agg(F.count("*").alias("times"))
-    groups = counted.groupBy("mini").agg(F.count("*").alias("kinds"), F.min("times").alias("fewest"), F.sum("times").alias("all")).where("all > 1").drop("all")
+    groups = counted.groupBy("mini").agg(F.count("*").alias("kinds"), F.sum("times").alias("all")).where("all > 1").drop("all")
     return spots.join(counted.join(groups, "mini"), ["mini", "seg"])
 
 
-def repeated_segments(docs: DataFrame, flagged: DataFrame, window: int, minimizer_limit: int, shard_words: int) -> DataFrame:
-    """(mini, seg, mask), written: segments with windows that occur elsewhere, and which of their windows do (all bits: all)."""
-    whole = flagged.where("times > 1").select("mini", "seg", F.lit(-1).cast("long").alias("mask")).distinct()
-    first = flagged.where("kinds > 1 and fewest = 1").groupBy("mini", "seg", "times", "kinds").agg(F.min(F.struct("doc_id", "print", "start", "n")).alias("at"))
-    known = common.cut(contents(docs, first.select("mini", "seg", "times", "kinds", "at.*"), window))
-    usual, hot = known.where(F.col("kinds") <= minimizer_limit), known.where(F.col("kinds") > minimizer_limit)
-    total = usual.agg(F.coalesce(F.sum(F.col("n") + window - 1), F.lit(0))).first()[0]
-    shards = max(1, -(-total // shard_words))
+def searched(segs: DataFrame, shards: int, window: int) -> DataFrame:
+    """(mini, seg, mask): which windows of the segments (mini, seg, times, data; repeated rows count once) occur twice or more, by the
+    FM-index of the shard that their minimizer falls into."""
 
     def shard(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["mini", "seg"], ignore_index=True)
-        parts = [np.frombuffer(x, np.uint64) for x in rows["data"]]
-        which = np.flatnonzero(rows["times"].to_numpy() == 1)
-        sizes = np.array([len(x) for x in parts], np.int64)[which]
-        mask = FMIndex(parts).repeated(which, sizes, window)
-        return rows.loc[which, ["mini", "seg"]].assign(mask=mask)[mask != 0]
-
-    searched = usual.select("mini", "seg", "times", "data", F.pmod("mini", F.lit(shards)).alias("shard")).groupBy("shard").applyInPandas(lambda rows: shard(rows), "mini long, seg long, mask long")
-
-    def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(m, s, t, k, h) for m, s, t, d in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True) for k, h in enumerate(mixed(np.frombuffer(d, np.uint64), window).view(np.int64).tolist())]
-        cols = list(zip(*rows, strict=True))
-        return common.batch_of(mini=(cols[0], pa.int64()), seg=(cols[1], pa.int64()), times=(cols[2], pa.int64()), k=(cols[3], pa.int32()), h=(cols[4], pa.int64()))
-
-    single = common.map_batches(hot.select("mini", "seg", "times", "data"), windows, "mini long, seg long, times long, k int, h long")
-    often = single.groupBy("mini", "h").agg(F.sum("times").alias("all")).where(F.col("all") > 1)
-    counted_windows = single.where("times = 1").join(often, ["mini", "h"]).groupBy("mini", "seg").agg(F.expr("bit_or(shiftleft(1L, k))").alias("mask"))
-    out = common.cut(whole.unionByName(searched).unionByName(counted_windows))
-    common.forget(docs.sparkSession, known)
+        rows = rows.drop_duplicates(["mini", "seg"]).sort_values(["mini", "seg"], ignore_index=True)
+        which, at, _ = FMIndex([np.frombuffer(x, np.uint64) for x in rows["data"]], rows["times"].to_numpy()).repeats(window)
+        mask = np.zeros(len(rows), np.int64)
+        np.bitwise_or.at(mask, which, np.int64(1) << at)
+        return rows[["mini", "seg"]].assign(mask=mask)[mask != 0]
+
+    return segs.withColumn("shard", F.pmod(F.xxhash64("mini"), F.lit(shards))).groupBy("shard").applyInPandas(lambda rows: shard(rows), "mini long, seg long, mask long")
+
+
+def single_windows(segs: DataFrame, window: int, keep: bool) -> DataFrame:
+    """(mini, seg, times, k, h): each window of the segments by its own hash; with keep, its words too."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[tuple] = []
+        for m, s, t, d in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            out += [(m, s, t, k, h, d[8 * k : 8 * (k + window)]) for k, h in enumerate(mixed(np.frombuffer(d, np.uint64), window).view(np.int64).tolist())]
+        cols = list(zip(*out, strict=True))
+        kinds = {"mini": pa.int64(), "seg": pa.int64(), "times": pa.int64(), "k": pa.int32(), "h": pa.int64(), **({"data": pa.binary()} if keep else {})}
+        return common.batch_of(**{c: (x, t) for (c, t), x in zip(kinds.items(), cols, strict=False)})
+
+    return common.map_batches(segs.select("mini", "seg", "times", "data"), run, "mini long, seg long, times long, k int, h long" + ", data binary" * keep)
+
+
+def repeated_segments(docs: DataFrame, flagged: DataFrame, window: int, minimizer_limit: int, shard_words: int) -> DataFrame:
+    """(mini, seg, mask), written: segments with windows that occur elsewhere, and which of their windows do."""
+    first = flagged.groupBy("mini", "seg", "times", "kinds").agg(F.min(F.struct("doc_id", "print", "start", "n")).alias("at")).select("mini", "seg", "times", "kinds", "at.*")
+    usual, hot = (first.where(x).drop("kinds") for x in (F.col("kinds") <= minimizer_limit, F.col("kinds") > minimizer_limit))
+    sizes = first.groupBy((F.col("kinds") > minimizer_limit).alias("hot")).agg(F.sum(F.col("n") + window - 1).alias("words"))
+    words = {r.hot: r.words for r in sizes.collect()}
+    out = searched(contents(docs, usual, window), max(1, -(-words.get(False, 0) // shard_words)), window)
+    known = None
+    if True in words:
+        # A minimizer with more segments than a shard should hold: its windows part by their own hashes and go the same way.
+        known = common.cut(contents(docs, hot, window))
+        single = single_windows(known, window, False)
+        often = common.cut(single.groupBy("h").agg(F.sum("times").alias("all")).where("all > 1"))
+        parts = single_windows(known, window, True).select("h", "data").join(often, "h").dropDuplicates(["h"]).select(F.col("h").alias("mini"), F.col("h").alias("seg"), F.col("all").alias("times"), "data")
+        twice = searched(parts, max(1, -(-often.count() * window // shard_words)), window).select(F.col("mini").alias("h"))
+        out = out.unionByName(single.join(twice, "h").groupBy("mini", "seg").agg(F.expr("bit_or(shiftleft(1L, k))").alias("mask")))
+    out = common.cut(out)
+    if known is not None:
+        common.forget(docs.sparkSession, known, often)
     return out
 
 
 def remove_repeats(
-    docs: DataFrame, window: int = 35, run: int = 12, id_col: str = "doc_id", text_col: str = "text", minimizer_limit: int = 4096, shard_words: int = 1 << 19, keep_text: bool = False, keep_spans: bool = False,
+    docs: DataFrame, window: int = 35, run: int = 12, id_col: str = "doc_id", text_col: str = "text", minimizer_limit: int = 1024, shard_words: int = 1 << 17, keep_text: bool = False, keep_spans: bool = False,
 ) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256), one row per input row; keep_text adds the kept words, one space apart, as `kept`,
     keep_spans the removed intervals of words (ends exclusive) as `spans`.
 
     A word goes if a window of `window` words that covers it also starts anywhere else, in its own text or another. Null and empty texts,
     and those shorter than the window, lose nothing. Repeated rows are texts of their own, so their windows repeat; null ids are ids like
-    any other. An empty table returns no row. Extra columns are ignored.
+    any other. An empty table returns no row. Extra columns are ignored. Very long texts are cut into slices that share a window less a word.
     """
     if not window - run < 63 or run > window:
         raise ValueError("a segment's windows must fit a 64-bit mask")
@@ -310,7 +336,9 @@ def remove_repeats(
     flagged = common.cut(flagged_positions(spots))
     common.forget(docs.sparkSession, spots)
     masks = repeated_segments(rows, flagged, window, minimizer_limit, shard_words)
-    hits = flagged.select("mini", "seg", "doc_id", "print", "start", "n").join(masks, ["mini", "seg"]).groupBy("doc_id", "print").agg(F.collect_list(F.struct("start", "n", "mask")).alias("hits")).withColumnsRenamed({"doc_id": "d", "print": "p"})
+    hits = flagged.select("mini", "seg", "doc_id", "print", "start", "n").join(masks, ["mini", "seg"])
+    # Repeated rows of one id and text bring each hit as often as there are rows; the set holds it once, so it is bounded by one text.
+    hits = hits.groupBy("doc_id", "print").agg(F.collect_set(F.struct("start", "n", "mask")).alias("hits")).withColumnsRenamed({"doc_id": "d", "print": "p"})
     joined = packed(rows).join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p")), "left").select("doc_id", "data", "hits")
 
     def finish(batch: pa.RecordBatch) -> pa.RecordBatch:

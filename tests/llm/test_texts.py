@@ -166,7 +166,7 @@ def removed(rows, window):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("window", "run", "limit", "shard"), [(35, 12, 4096, 1 << 20), (35, 12, 1, 1 << 20), (8, 4, 4096, 5000)])
+@pytest.mark.parametrize(("window", "run", "limit", "shard"), [(35, 12, 1024, 1 << 20), (35, 12, 1, 1 << 20), (35, 12, 3, 2000), (8, 4, 1024, 5000)])
 def test_substrings_against_brute_force(docs, odd_docs, window, run, limit, shard):
     for df in (docs, odd_docs):
         got = substring.remove_repeats(df, window, run, minimizer_limit=limit, shard_words=shard).collect()
@@ -182,13 +182,34 @@ def test_substrings_edges(spark, no_docs):
     assert got == {1: (50, "", [(0, 50)]), 2: (0, "a b", []), 3: (40, "x y z", [(2, 42)]), 4: (90, "", [(0, 90)])}
 
 
+def test_repeated_rows_take_time_in_proportion(spark):
+    text = " ".join(f"w{k}" for k in range(300))
+    same = [(1, text)] * 200 + [(None, text + " tail")] * 200 + [(2, "some other words")]
+    for rows in (same, same[:1] + same[-1:]):
+        got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == removed(rows, 35)
+
+
+words_lists = st.lists(st.lists(st.integers(0, 3), min_size=4, max_size=12), min_size=1, max_size=6)
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 3), min_size=4, max_size=12), min_size=1, max_size=6))
-def test_index_against_brute_force(parts):
-    arrays = [np.array(p, np.uint64) for p in parts]
-    mask = substring.FMIndex(arrays).repeated(np.arange(len(arrays)), np.array([len(a) for a in arrays]), 4)
-    seen = Counter(tuple(p[k : k + 4]) for p in parts for k in range(len(p) - 3))
-    assert mask.tolist() == [sum(1 << k for k in range(len(p) - 3) if seen[tuple(p[k : k + 4])] > 1) for p in parts]
+@given(words_lists, st.integers(1, 5), st.randoms())
+def test_matching_statistics_against_brute_force(parts, least, rng):
+    times = [rng.choice([1, 1, 2]) for _ in parts]
+    seen = Counter()
+    for p, t in zip(parts, times, strict=True):
+        for k in range(len(p)):
+            for e in range(k + 1, len(p) + 1):
+                seen[tuple(p[k:e])] += t
+    want = set()
+    for i, p in enumerate(parts):
+        for k in range(len(p)):
+            n = max([e - k for e in range(k + 1, len(p) + 1) if seen[tuple(p[k:e])] > 1], default=0)
+            if n >= least:
+                want.add((i, k, n))
+    got = substring.FMIndex([np.array(p, np.uint64) for p in parts], np.array(times)).repeats(least)
+    assert set(zip(*(x.tolist() for x in got), strict=True)) == want
 
 
 def ids_of(text):
