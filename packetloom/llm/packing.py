@@ -1,7 +1,7 @@
 """Best-fit packing by a grouping genetic algorithm.
 
-Pieces of tokenised documents are dealt into blocks of a bounded size. For each block several islands, each a row group of its own,
-evolve packings: a crossover injects whole well-filled bins of one parent into the other, the other's bins that hold the same pieces are
+Pieces of tokenised documents are dealt into blocks of a bounded size. For each block that best-fit alone does not pack into the fewest
+sequences its volume allows, several islands, each a row group of its own, evolve packings: a crossover injects whole well-filled bins of one parent into the other, the other's bins that hold the same pieces are
 dissolved, and the displaced pieces are put back best-fit by decreasing length. Between rounds each island's elite migrates to the next.
 """
 
@@ -169,38 +169,91 @@ def place(sizes: np.ndarray, bins: np.ndarray, loose: np.ndarray, capacity: int)
     return bins
 
 
+def fill(sizes: np.ndarray, bins: np.ndarray, loose: np.ndarray, capacity: int) -> np.ndarray:
+    """Puts the loose pieces into new bins; returns bins anew. Each bin begins with the next piece of the given order that is left and
+    takes, again and again, the one or two others that leave it the least room."""
+    bins, n = bins.copy(), int(bins.max(initial=-1)) + 1
+    left: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for k in loose[::-1].tolist():
+        left[sizes[k]].append(k)
+    have = mirror = 0  # bit masks of the sizes that are left, and of capacity minus them
+    for size in np.unique(sizes[loose]).tolist():
+        have |= 1 << size
+        mirror |= 1 << (capacity - size)
+
+    def take(size: int) -> None:
+        nonlocal have, mirror
+        bins[left[size].pop()] = n
+        if not left[size]:
+            have ^= 1 << size
+            mirror ^= 1 << (capacity - size)
+
+    for k in loose.tolist():
+        if bins[k] >= 0:
+            continue
+        size = int(sizes[k])
+        take(size)  # of equal sizes any will do
+        room = capacity - size
+        while room and (low := have & ((2 << room) - 1)):
+            best = low.bit_length() - 1
+            pick = (best,)
+            for total in range(room, best, -1) if best < room < 2 * best else ():
+                both = low & (mirror >> (capacity - total))  # sizes that another completes to this total
+                if total % 2 == 0 and both >> (total // 2) & 1 and len(left[total // 2]) < 2:
+                    both ^= 1 << (total // 2)
+                if both:
+                    pick = (both.bit_length() - 1, total - both.bit_length() + 1)
+                    break
+            for x in pick:
+                take(x)
+            room -= sum(pick)
+        n += 1
+    return bins
+
+
 def fitness(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> tuple[int, float]:
     """Fewer bins first, then fuller ones (mean squared fill)."""
-    fill = np.bincount(bins, sizes) / capacity
-    return -len(fill), float((fill**2).mean())
+    full = np.bincount(bins, sizes) / capacity
+    return -len(full), float((full**2).mean())
 
 
 def crossover(sizes: np.ndarray, giver: np.ndarray, taker: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
-    """The taker with well-filled whole bins of the giver injected, duplicates dissolved and displaced pieces best-fit by length."""
-    fill = np.bincount(giver, sizes)
-    good = np.flatnonzero(fill >= np.quantile(fill, rng.uniform(0.3, 0.9)))
-    chosen = np.zeros(len(fill), bool)
+    """The taker with well-filled whole bins of the giver injected, bins that hold the same pieces dissolved, and the displaced pieces put
+    back by decreasing length: best-fit into all bins, or the fullest new bins first and best-fit for the rest."""
+    full = np.bincount(giver, sizes)
+    good = np.flatnonzero(full >= np.quantile(full, rng.uniform(0.3, 0.9)))
+    chosen = np.zeros(len(full), bool)
     chosen[good[rng.random(len(good)) < rng.uniform(0.2, 0.9)]] = True
     moved = chosen[giver]
     gone = np.zeros(taker.max() + 1, bool)
     gone[taker[moved]] = True
     least = np.bincount(taker, sizes)
-    gone |= least <= np.quantile(least, 0.02)  # the emptiest bins are dissolved as well
+    gone |= least <= np.quantile(least, rng.uniform(0.02, 0.3))  # the emptiest bins are dissolved as well
     child = np.where(gone[taker], -1, taker)
     child[moved] = giver[moved] + taker.max() + 1
     loose = np.flatnonzero(child < 0)
-    return place(sizes, child, loose[np.lexsort((rng.random(len(loose)), -sizes[loose]))], capacity)
+    loose = loose[np.lexsort((rng.random(len(loose)), -sizes[loose]))]
+    if rng.random() < 0.5:
+        return place(sizes, child, loose, capacity)
+    child = fill(sizes, child, loose, capacity)
+    weak = np.bincount(child, sizes, int(child.max()) + 1) < 0.9 * capacity  # numbers without a piece count as weak, to no effect
+    loose = loose[weak[child[loose]]]
+    child[loose] = -1
+    return place(sizes, child, loose, capacity)
 
 
-def evolve(sizes: np.ndarray, seeds: list[np.ndarray], capacity: int, generations: int, population: int, rng: np.random.Generator) -> np.ndarray:
-    """The best packing (bin of each piece) after some generations from the seeds and best-fit starts of perturbed order."""
+def evolve(sizes: np.ndarray, seeds: list[np.ndarray], capacity: int, generations: int, population: int, rng: np.random.Generator, start: Callable = place) -> np.ndarray:
+    """The best packing (bin of each piece) after some generations from the seeds and starts of perturbed order.
+
+    A packing that needs no more bins than the volume cannot be beaten and ends the search.
+    """
     none, bound = np.full(len(sizes), -1), -(-int(sizes.sum()) // capacity)
     people = list(seeds)
     while len(people) < population:
-        wobble = sizes * (1 + rng.normal(0, 0.05, len(sizes)) * (len(people) > 0))
-        people.append(place(sizes, none, np.argsort(-wobble, kind="stable"), capacity))
+        wobble = sizes * (1 + rng.normal(0, 0.05, len(sizes)) * (len(people) > len(seeds)))
+        people.append(start(sizes, none, np.argsort(-wobble, kind="stable"), capacity))
     ranked = sorted(((fitness(sizes, p, capacity), k, p) for k, p in enumerate(people)), key=lambda x: (x[0], -x[1]), reverse=True)
-    for g in range(generations):
+    for g in range(generations if len(ranked) > 1 else 0):
         if -ranked[0][0][0] <= bound:
             break
         a, b = rng.choice(len(ranked), 2, replace=False)
@@ -210,18 +263,29 @@ def evolve(sizes: np.ndarray, seeds: list[np.ndarray], capacity: int, generation
 
 
 def islands(dealt: DataFrame, capacity: int, n_islands: int, rounds: int, generations: int, population: int) -> DataFrame:
-    """(block, item, bin): the best island's packing of each block of dealt (block, item, length)."""
-    spread = dealt.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(n_islands - 1))))
-    state = spread.select("block", "island", "item", "length", F.array().cast("array<int>").alias("seeds"))
+    """(block, item, bin, length): the best packing of each block of dealt (block, item, length).
+
+    Every block has its best-fit packing. Where that needs as many bins as the volume does, no packing has fewer; all other blocks
+    evolve on the islands, of which every other one starts from fullest-bin packings instead of best-fit ones.
+    """
+
+    def begin(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        sizes = rows["length"].to_numpy(np.int64)
+        bins = place(sizes, np.full(len(sizes), -1), np.argsort(-sizes, kind="stable"), capacity)
+        return pd.DataFrame({"block": key[0], "item": rows["item"], "length": rows["length"], "bin": bins, "open": bool((bins.max() + 1) * capacity - sizes.sum() >= capacity)})
+
+    fitted = common.cut(dealt.groupBy("block").applyInPandas(begin, "block long, item long, length long, bin int, open boolean"))
+    spread = fitted.where("open").withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(n_islands - 1))))
+    state = spread.select("block", "island", "item", "length", F.when(F.col("island") % 2 == 0, F.array("bin")).otherwise(F.array().cast("array<int>")).alias("seeds"))
 
     def run(turn: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
         def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             rows = rows.sort_values("item", ignore_index=True)
             sizes = rows["length"].to_numpy(np.int64)
             seeds = list(np.array(rows["seeds"].tolist(), np.int64).T) if len(rows["seeds"][0]) else []
-            best = evolve(sizes, seeds, capacity, generations, population, np.random.default_rng([turn, int(key[0]), int(key[1])]))
-            count, fill = fitness(sizes, best, capacity)
-            return pd.DataFrame({"block": key[0], "island": key[1], "item": rows["item"], "length": rows["length"], "bin": best, "count": count, "fill": fill})
+            best = evolve(sizes, seeds, capacity, generations, population, np.random.default_rng([turn, int(key[0]), int(key[1])]), (place, fill)[int(key[1]) % 2])
+            count, full = fitness(sizes, best, capacity)
+            return pd.DataFrame({"block": key[0], "island": key[1], "item": rows["item"], "length": rows["length"], "bin": best, "count": count, "fill": full})
 
         return one
 
@@ -234,28 +298,32 @@ def islands(dealt: DataFrame, capacity: int, n_islands: int, rounds: int, genera
             state = state.select("block", "island", "item", "length", F.transform("s", lambda x: x["bin"]).alias("seeds"))
     best = evolved.groupBy("block", "island").agg(F.first("count").alias("count"), F.first("fill").alias("fill"))
     best = best.groupBy("block").agg(F.max_by("island", F.struct("count", "fill", -F.col("island"))).alias("island"))
-    return evolved.join(best, ["block", "island"]).select("block", "item", "length", "bin")
+    columns = ["block", "item", "length", "bin"]
+    return fitted.where("not open").select(columns).unionByName(evolved.join(best, ["block", "island"]).select(columns))
 
 
 def pack(
     docs: DataFrame, capacity: int = 4096, tokenizer: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text",
-    block_pieces: int = 4096, n_islands: int = 2, rounds: int = 2, generations: int = 6, population: int = 4, keep_ids: bool = False,
+    block_pieces: int = 4096, block_bins: int = 64, n_islands: int = 4, rounds: int = 2, generations: int = 16, population: int = 8, keep_ids: bool = False,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row per piece of each input row; keep_ids adds `ids`.
 
-    Only documents over the capacity are cut. Blocks hold about block_pieces pieces, dealt by hash, so a task's memory does not grow with
-    the corpus and each block wastes about a bin. Null and empty texts are the end id alone. Repeated rows and null ids are packed like
-    any other. An empty table returns no row; extra columns are ignored.
+    Only documents over the capacity are cut. Blocks hold about block_pieces pieces, or more where those would fill fewer than block_bins
+    sequences, and are dealt by hash, so a task's memory does not grow with the corpus and each block wastes about a bin. Null and empty
+    texts are the end id alone. Repeated rows and null ids are packed like any other. An empty table returns no row; extra columns are
+    ignored.
     """
     key = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
     cut = common.cut(pieces(docs, capacity, tokenizer, end_id, id_col, text_col, keep_ids))
-    blocks = max(1, -(-cut.count() // block_pieces))
+    count, tokens = cut.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    blocks = max(1, min(-(-count // block_pieces), tokens // (capacity * block_bins)))
     home = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks))
     # Rows that agree in every column are interchangeable: they are packed as one group of copies, told apart by number.
     same = cut.groupBy(*key).count()
     rows = same.select("*", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("copy")).drop("count")
     rows = rows.withColumn("block", F.pmod(home + F.col("copy") - 1, F.lit(blocks)))
     numbered = common.cut(rows.withColumn("item", F.row_number().over(Window.partitionBy("block").orderBy("doc_id", "piece", "ids_crc32", "copy")).cast("long")))
+    common.forget(docs.sparkSession, cut)
     packed = islands(numbered.select("block", "item", "length"), capacity, n_islands, rounds, generations, population)
     within = Window.partitionBy("block", "bin").orderBy("item").rowsBetween(Window.unboundedPreceding, -1)
     placed = packed.withColumn("offset", F.coalesce(F.sum("length").over(within), F.lit(0)).cast("long")).drop("length")
@@ -264,7 +332,11 @@ def pack(
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """(sequence_id, length, ids) of pack(..., keep_ids=True): each sequence's ids, little-endian 32-bit, in order of offset."""
+    """(sequence_id, length, ids) of pack(..., keep_ids=True): each sequence's ids, little-endian 32-bit, in order of offset.
+
+    Offsets of one sequence differ, so there are no ties; a sequence's pieces alone are gathered (its capacity at most). An empty table
+    returns no row; extra columns are ignored.
+    """
     line = F.expr("aggregate(array_sort(collect_list(struct(offset, ids))), cast('' as binary), (a, x) -> concat(a, x.ids))")  # a sequence's pieces alone
     return packed.groupBy("sequence_id").agg(F.sum("length").alias("length"), line.alias("ids"))
 
