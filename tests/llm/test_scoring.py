@@ -124,16 +124,31 @@ def test_pairwise_term_against_brute_force():
     assert math.isclose(m.score(t), 1 / (1 + math.exp(-z)), rel_tol=1e-4)
 
 
-def test_held_out_toxicity(spark, sf_dir):
-    d = sf_dir.replace("sf0.001", "sf0.1")
+@pytest.mark.parametrize(("scale", "recall"), [("sf0.01", 0.9), ("sf0.1", 0.9)])
+def test_held_out_toxicity(spark, sf_dir, scale, recall):
+    """Of the held-out documents that hold a word typical of the toxic ones, by a count over all labels, which the machine never sees."""
+    d = sf_dir.replace("sf0.001", scale)
     labels = spark.read.parquet(f"{d}/labels.parquet")
-    got = toxicity.toxicity(spark.read.parquet(f"{d}/documents.parquet"), labels)
-    x = got.join(labels, "doc_id").where("held_out").groupBy("toxic", "predicted").count().collect()
-    n = {(r.toxic, r.predicted): r["count"] for r in x}
-    hit, false = n.get((1, 1), 0), n.get((0, 1), 0)
-    assert hit / (hit + n[1, 0]) > 0.7 and false / (false + n[0, 0]) < 0.01
-    english = got.where("score < 0 or score > 1").count()
-    assert english == 0
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    rows = docs.join(labels, "doc_id").select("doc_id", "text", "toxic").collect()
+    split = lambda t: set(t.lower().encode().translate(toxicity.TABLE).decode().split())
+    seen = {y: Counter(w for r in rows if r.toxic == y for w in split(r.text)) for y in (0, 1)}
+    typical = {w for w, n in seen[1].items() if n >= max(4, 0.03 * sum(r.toxic for r in rows)) and not seen[0][w]}
+    marked = {r.doc_id for r in rows if len(typical & split(r.text)) >= 2}
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got.values())
+    plain = [r.doc_id for r in rows if not r.toxic and got[r.doc_id].held_out]
+    toxic = [r.doc_id for r in rows if r.toxic and got[r.doc_id].held_out and r.doc_id in marked]
+    assert np.mean([got[i].predicted for i in toxic]) >= recall and np.mean([got[i].predicted for i in plain]) < 0.01
+
+
+def test_a_repeated_training_row_counts_once(spark):
+    rows = [(k, "a fool " * (k % 2) + f"word{k}") for k in range(40)]
+    rows += [(1, "a fool word1")] * 500 + [(1, "another text of that id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    first = toxicity.fit(docs, labels, 100, "doc_id", "text")
+    assert len(first.w) == 1 << toxicity.BITS and first.score(toxicity.Terms().of("fool")) > first.score(toxicity.Terms().of("word"))
 
 
 def test_toxicity_edges(spark, odd_docs, no_docs, no_labels):
