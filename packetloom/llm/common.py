@@ -78,8 +78,11 @@ def batch_of(**columns: tuple[list | pa.Array, pa.DataType]) -> pa.RecordBatch:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only where that is unset (tests on one machine), a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one on a local master (tests) and an error
+    on any other, whose executors would not see it."""
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='packetloom-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -102,20 +105,21 @@ def forget(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, salts: int = 8) -> DataFrame:
     """Connected components of an undirected graph: edges (u, v) to rows (u, root), root the smallest reachable node.
 
-    Alternates large-star and small-star steps: O(log^2 n) rounds, each a partial aggregation for the minimum neighbour and an
-    equi-join whose hot side AQE can split; no adjacency list is ever gathered. Nodes without an edge are not returned.
-    Self-loops and nulls are ignored.
+    Alternates large-star and small-star steps: O(log^2 n) rounds, each a partial aggregation for the minimum neighbour and an equi-join.
+    The edges of a hub are dealt over `salts` tasks, each with its own copy of the hub's minimum, and AQE can split those again; no
+    adjacency list is ever gathered. Nodes without an edge are not returned. Self-loops and nulls are ignored; repeated edges count once.
     """
     spark = edges.sparkSession
     e = edges.toDF("u", "v").where("u is not null and v is not null and u <> v").selectExpr("greatest(u, v) as u", "least(u, v) as v").distinct()
     old, state = cut(e), None
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
     for _ in range(max_rounds):
         sym = old.unionByName(old.selectExpr("v as u", "u as v"))
-        low = sym.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) as m")
-        large = sym.where("v > u").join(low, "u").selectExpr("v as u", "m as v").where("u <> v")
+        low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), every)
+        large = sym.where("v > u").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts))).join(low, ["u", "salt"]).selectExpr("v as u", "m as v").where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").selectExpr("v as u", "m as v").where("u <> v").unionByName(least.selectExpr("u", "m as v"))
         new = cut(small.distinct())

@@ -3,8 +3,10 @@
 Each 64-bit fingerprint is embedded as 32 popcounts, one for each 2-bit segment. A differing bit moves one popcount by at most one,
 so the Manhattan distance of two embeddings never exceeds the Hamming distance: it is a lower bound to filter with. The range join
 |a - b|_1 <= 2 runs on a grid: the 32 coordinates form four blocks, two moves touch two blocks at most, so two of the four blocks agree
-exactly, and each of the six block pairs is a projection whose grid cells have side one. Within a cell the Manhattan bound is applied
-over all coordinates and the survivors are verified by XOR and popcount.
+exactly, and each of the six block pairs is a projection whose grid cells have side one. A cell with too many fingerprints for one
+group is cut into finer cells in the same way: in some cell of each linked pair the shared blocks agree bit by bit, and of the other
+bits, again in four blocks, two agree. After two cuts at most eight bits are free, so every cell is bounded. Within a cell the Manhattan
+bound is applied over all coordinates and the survivors are verified by XOR and popcount.
 
 Popcounts are kept in thermometer code (0: 00, 1: 01, 2: 11), in which the Manhattan distance is the popcount of an XOR.
 """
@@ -26,6 +28,17 @@ PAIRS = [(0xFFFF << (16 * i)) | (0xFFFF << (16 * j)) for i in range(4) for j in
 CHUNK = 1 << 16
 
 
+def finer(mask: int) -> list[int]:
+    """The mask with two of four equal blocks of the other bits, in all six ways."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    blocks = [sum(1 << b for b in free[k * len(free) // 4 : (k + 1) * len(free) // 4]) for k in range(4)]
+    return [mask | blocks[i] | blocks[j] for i in range(4) for j in range(i)]
+
+
+#: Masks by level: six cells of a fingerprint, each with six finer ones, each with six finer ones.
+LEVELS = [PAIRS, [m for p in PAIRS for m in finer(p)], [n for p in PAIRS for m in finer(p) for n in finer(m)]]
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -125,29 +138,42 @@ def cell_links(grid: DataFrame, radius: int) -> DataFrame:
     return dealt.select("pair", "cell", "fp").mapInArrow(run, "u long, v long")
 
 
-def hub_links(grid: DataFrame) -> DataFrame:
-    """Exact links for cells of any size at distance two, without pairs: two fingerprints are at most two bits apart just if they share a
-    value among themselves and their one-bit flips, so that value's smallest owner is a hub. Only bits that vary in a cell are flipped."""
-    mask = grid.groupBy("pair", "cell").agg(F.expr("bit_or(fp) & ~bit_and(fp)").alias("vary"))
-    flips = F.expr("transform(filter(sequence(0, 63), b -> (shiftright(vary, b) & 1) = 1), b -> fp ^ shiftleft(1L, b))")
-    spread = grid.join(mask, ["pair", "cell"]).select("pair", "cell", "fp", F.explode(F.array_append(flips, F.col("fp"))).alias("at"))
-    hub = spread.groupBy("pair", "cell", "at").agg(F.min("fp").alias("v"))
-    return spread.join(hub, ["pair", "cell", "at"]).where("fp <> v").selectExpr("fp as u", "v").distinct()
+def split(grid: DataFrame, level: int) -> DataFrame:
+    """The finer cells (pair, cell, fp) of the rows of a grid of the level before."""
+    masks = F.array(*[F.lit(signed(m)) for m in LEVELS[level]])
+    parts = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.struct((F.col("pair") * 6 + k).alias("pair"), F.col("fp").bitwiseAND(F.get(masks, F.col("pair") * 6 + k)).alias("cell")))
+    return grid.select("fp", F.explode(parts).alias("k")).select("k.pair", "k.cell", "fp")
 
 
 def classes(prints: DataFrame, radius: int = 2, cell_limit: int = 4096) -> DataFrame:
     """(fp, root, component_id) for each distinct fingerprint of prints (doc_id, fp).
 
-    Copies collapse to one node before any join. Cells with over cell_limit distinct fingerprints take hub_links (the exact way for a
-    hot bucket), the others are verified pair by pair in bounded memory. radius is 2 in the hub step, so 2 is the one radius allowed.
+    Copies collapse to one node before any join. Cells with over cell_limit distinct fingerprints are cut into finer ones, at most
+    twice; all are verified pair by pair in bounded memory. The grid's blocks are made for two differing bits, so radius is 2 at most.
     """
-    if radius != 2:
-        raise ValueError("the grid's blocks and the hub step are made for two differing bits")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    grid = cells(nodes)
-    heavy = grid.groupBy("pair", "cell").count().where(F.col("count") > cell_limit).select("pair", "cell")
-    links = cell_links(grid.join(heavy, ["pair", "cell"], "left_anti"), radius).unionByName(hub_links(grid.join(heavy, ["pair", "cell"], "left_semi")))
+    if radius > 2:
+        raise ValueError("the grid's blocks are made for two differing bits")
+    spark = prints.sparkSession
+    nodes = common.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    grid, links, written = cells(nodes), None, []
+    for level in range(len(LEVELS)):
+        usual = grid
+        if level + 1 < len(LEVELS):
+            heavy = common.cut(grid.groupBy("pair", "cell").count().where(F.col("count") > cell_limit).select("pair", "cell"))
+            written.append(heavy)
+            if heavy.isEmpty():
+                heavy = None
+            else:
+                usual = grid.join(heavy, ["pair", "cell"], "left_anti")
+        else:
+            heavy = None
+        found = cell_links(usual, radius)
+        links = found if links is None else links.unionByName(found)
+        if heavy is None:
+            break
+        grid = split(grid.join(heavy, ["pair", "cell"], "left_semi"), level + 1)
     roots = common.components(links).withColumnRenamed("u", "fp")
+    common.forget(spark, *written)
     rooted = nodes.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     return rooted.join(least, "root").select("fp", "root", "component_id")
@@ -158,7 +184,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts are lower-cased (A-Z) and cut at ASCII white space. Null and empty texts have fingerprint zero and are linked like any other.
     component_id is the smallest doc_id reachable over links of at most radius bits; null ids never win, and a class of null ids alone
-    gets null. Repeated rows each return. An empty table returns no row. Extra columns are ignored.
+    gets null. Repeated rows each return. An empty table returns no row. Extra columns are ignored. Very long texts are read whole, in
+    chunks of shingles.
     """
     prints = common.cut(fingerprints(docs, id_col, text_col, shingle))
     found = common.cut(classes(prints, radius))

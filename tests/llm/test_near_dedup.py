@@ -72,6 +72,17 @@ def crowd(spark):
     return [(k, simhash.signed(p)) for k, p in enumerate(found)]
 
 
+def test_finer_cells_hold_every_linked_pair():
+    for level in simhash.LEVELS:
+        assert len({m.bit_count() for m in level}) == 1 and len(level) in (6, 36, 216)
+    for i in range(64):
+        for j in range(i + 1):
+            gone = 1 << i | 1 << j  # the bits that differ
+            pairs = [k for k, m in enumerate(simhash.LEVELS[0]) if not m & gone]
+            assert pairs and all(any(not simhash.LEVELS[1][6 * k + a] & gone and any(not simhash.LEVELS[2][36 * k + 6 * a + b] & gone for b in range(6)) for a in range(6)) for k in pairs)
+    assert 64 - simhash.LEVELS[2][0].bit_count() == 8
+
+
 @pytest.mark.parametrize("limit", [4096, 3, 1])
 def test_every_cell_size_gives_the_same_classes(spark, crowd, limit):
     got = {r.fp: r.component_id for r in simhash.classes(spark.createDataFrame(crowd, "doc_id long, fp long"), cell_limit=limit).collect()}
