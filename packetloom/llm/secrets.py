@@ -23,7 +23,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ["assign", "access", "hex", "format"]
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{20,}")
+#: Tokens that may be credentials: as short as the shortest assigned value with a letter and a digit, else of 20 characters or more.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?:(?=[0-9+/_.=-]*[A-Za-z])(?=[A-Za-z+/_.=-]*[0-9])[A-Za-z0-9+/_.=-]{8,}|[A-Za-z0-9+/_.=-]{20,})")
 CLASSES = {"d": "0123456789", "h": "abcdef", "l": "ghijklmnopqrstuvwxyz", "u": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 CLASS_OF = {c: (k, math.log2(len(v))) for k, v in CLASSES.items() for c in v}
 PLAIN = "plain"
@@ -42,11 +43,16 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
-    """(start, end, value) of tokens of 20 or more credential characters with a digit, clear of the base spans."""
-    found = []
+    """(start, end, value) of the tokens that may be credentials and are not covered by base spans (sorted); one that goes beyond a base
+    span is a candidate as a whole. Both lists are walked once."""
+    found, k, reach = [], 0, -1  # reach: how far the base spans go that begin at the token's start or before
     for m in CANDIDATE.finditer(text):
-        if any(c.isdigit() for c in m[0]) and not any(s < m.end() and m.start() < e for s, _, e, _ in base):
-            found.append((m.start(), m.end(), m[0]))
+        s, e = m.span()
+        while k < len(base) and base[k][0] <= s:
+            reach = max(reach, base[k][2])
+            k += 1
+        if e > reach:
+            found.append((s, e, m[0]))
     return found
 
 
@@ -182,27 +188,28 @@ def scan(docs: DataFrame) -> DataFrame:
     return common.map_batches(docs, run, f"doc_id long, base {kind}, more {kind}, word string")
 
 
-def learn(seen: DataFrame, train_limit: int) -> dict[str, Automaton]:
-    """Automata of the base values of a scan, and one of ordinary words, from train_limit distinct values each (those of smallest hash)."""
+def learn(seen: DataFrame, train_limit: int, value_limit: int) -> dict[str, Automaton]:
+    """Automata of the base values of a scan, and one of ordinary words, from train_limit distinct values each (those of smallest hash)
+    of value_limit characters at most; longer values are no part of the sample, and none is cut."""
     values = seen.select(F.explode("base").alias("x")).select(F.col("x.kind").cast("string").alias("kind"), "x.value")
-    values = values.unionByName(seen.where("word <> ''").select(F.lit(PLAIN).alias("kind"), F.col("word").alias("value"))).select("kind", F.expr("substr(value, 1, 256)").alias("value")).distinct()
+    values = values.unionByName(seen.where("word <> ''").select(F.lit(PLAIN).alias("kind"), F.col("word").alias("value"))).where(F.length("value") <= value_limit).distinct()
     labelled = []
     for k in ("0", "1", "2", PLAIN):
         labelled += [(k, r[0]) for r in values.where(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(train_limit).select("value").collect()]
     return grammars(labelled)
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_limit: int = 400, most_bits: float = 5.5, margin: float = 0.75) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_limit: int = 400, value_limit: int = 512, most_bits: float = 5.5, margin: float = 0.75) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, spans array<struct<kind, start, end>>), one row per input row.
 
-    One pass over whole texts finds base spans and candidates; the automata learn from train_limit distinct base values a kind (those of
-    smallest hash, their first 256 characters; a documented bound) and as many ordinary words of the same texts; a second pass over the
-    narrow rows scores every candidate. A candidate becomes a span of kind "format" if its best automaton needs at most most_bits bits a
+    One pass over whole texts finds base spans and candidates (tokens of 8 or more credential characters with a letter and a digit, or
+    of 20 or more); the automata learn from train_limit distinct base values a kind (those of smallest hash, of value_limit characters at most;
+    a documented bound) and as many ordinary words of the same texts; a second pass over the narrow rows scores every candidate, whole. A candidate becomes a span of kind "format" if its best automaton needs at most most_bits bits a
     character and at least margin fewer than that of ordinary words. Base spans always stay. Offsets are code points, ends exclusive.
-    Null and empty texts have no span. Repeated rows each return. An empty table returns no row; with no labelled value nothing is added.
+    Null and empty texts have no span; very long ones are scanned whole. Repeated rows each return. An empty table returns no row; with no labelled value nothing is added.
     """
     seen = common.cut(scan(common.id_text(docs, id_col, text_col)))
-    sent = docs.sparkSession.sparkContext.broadcast(learn(seen, train_limit))
+    sent = docs.sparkSession.sparkContext.broadcast(learn(seen, train_limit, value_limit))
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
         scanner = Scanner(sent.value, most_bits, margin)
@@ -219,10 +226,15 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return common.map_batches(seen.select("doc_id", "base", "more"), score, "doc_id long, n_assign long, n_access long, n_hex long, spans array<struct<kind: string, start: long, end: long>>")
 
 
-def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", train_limit: int = 400, most_bits: float = 5.5, margin: float = 0.75, mark: str = "[REDACTED]") -> DataFrame:
-    """The rows of docs, all kept with all columns, with each secret that find_secrets() finds replaced by the mark."""
-    seen = common.cut(scan(common.id_text(docs, id_col, text_col)))
-    sent = docs.sparkSession.sparkContext.broadcast(learn(seen, train_limit))
+def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", train_limit: int = 400, value_limit: int = 512, most_bits: float = 5.5, margin: float = 0.75, mark: str = "[REDACTED]") -> DataFrame:
+    """The rows of docs, all kept with all columns, with each secret that find_secrets() finds replaced by the mark.
+
+    Overlapping spans are one mark. length_col gets a changed text's length; rows without a secret keep every value, null texts too.
+    Repeated rows each return; an empty table stays empty. Clashing extra columns are kept as they are.
+    """
+    seen = common.cut(scan(common.id_text(docs, id_col, text_col)).select("base", "word"))
+    sent = docs.sparkSession.sparkContext.broadcast(learn(seen, train_limit, value_limit))
+    common.forget(docs.sparkSession, seen)
 
     def clean(xs: list[str]) -> list[str]:
         scanner = Scanner(sent.value, most_bits, margin)
