@@ -6,6 +6,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable
 from functools import cache
 
@@ -30,12 +31,21 @@ MAGIC = {
     b"fLaC": "audio/flac",
     b".snd": "audio/basic",
 }
+JPEG_END, PDF_END, PDF_TABLE, ZIP_END = b"\xff\xd9", b"%%EOF", b"startxref", b"PK\x05\x06"
 RIFF_FORMS = {b"WAVE": "audio/wav", b"WEBP": "image/webp", b"AVI ": "video/x-msvideo"}
 OTHER = "application/octet-stream"
 WAV_HEADER = 44
+#: Offsets of the inner marks, ascending, all found in the one pass; what validators keep for each other.
+Marks = dict
 
 
-def _png(d: bytes, at: int) -> int:
+def after(places: list[int], at: int) -> int:
+    """The first place at an offset or later, -1 if there is none."""
+    k = bisect_left(places, at)
+    return places[k] if k < len(places) else -1
+
+
+def _png(d: bytes, at: int, marks: Marks) -> int:
     k = at + 8
     while k + 12 <= len(d):
         size, kind = struct.unpack_from(">I4s", d, k)
@@ -48,7 +58,7 @@ def _png(d: bytes, at: int) -> int:
     return 0
 
 
-def _gif(d: bytes, at: int) -> int:
+def _gif(d: bytes, at: int, marks: Marks) -> int:
     if at + 13 > len(d):
         return 0
     flags, k = d[at + 10], at + 13
@@ -68,7 +78,7 @@ def _gif(d: bytes, at: int) -> int:
     return 0
 
 
-def _jpeg(d: bytes, at: int) -> int:
+def _jpeg(d: bytes, at: int, marks: Marks) -> int:
     k = at + 2
     while k + 4 <= len(d) and d[k] == 0xFF:
         size = struct.unpack_from(">H", d, k + 2)[0]
@@ -76,7 +86,7 @@ def _jpeg(d: bytes, at: int) -> int:
             return 0
         scan, k = d[k + 1] == 0xDA, k + 2 + size
         if scan:
-            stop = d.find(b"\xff\xd9", k)
+            stop = after(marks[JPEG_END], k)
             return stop + 2 - at if stop >= 0 else 0
     return 0
 
@@ -94,7 +104,7 @@ def riff_chunks(d: bytes, at: int) -> tuple[int, dict[bytes, tuple[int, int]]]:
     return (stop - at, found) if found and k == stop else (0, {})
 
 
-def _gzip(d: bytes, at: int) -> int:
+def _gzip(d: bytes, at: int, marks: Marks) -> int:
     inflate = zlib.decompressobj(31)
     try:
         rest = memoryview(d)[at:]
@@ -110,35 +120,54 @@ def _gzip(d: bytes, at: int) -> int:
     return 0
 
 
-def _pdf(d: bytes, at: int) -> int:
-    stop = d.find(b"%%EOF", at)
-    return stop + 5 - at if stop >= 0 and d.find(b"startxref", at, stop) >= 0 else 0
+def _pdf(d: bytes, at: int, marks: Marks) -> int:
+    stop = after(marks[PDF_END], at)
+    return stop + 5 - at if stop >= 0 and 0 <= after(marks[PDF_TABLE], at) < stop else 0
 
 
-def _zip(d: bytes, at: int) -> int:
+def _zip(d: bytes, at: int, marks: Marks) -> int:
     k = at
     while d[k : k + 4] == b"PK\x03\x04" and k + 30 <= len(d):
         flags, packed, name, extra = struct.unpack_from("<H", d, k + 6)[0], *struct.unpack_from("<I", d, k + 18), *struct.unpack_from("<HH", d, k + 26)
-        if flags & 8:
-            return 0
+        if flags & 8:  # sizes come after the data, so the archive is found from its end
+            return _zip_from_end(d, at, marks)
         k += 30 + packed + name + extra
+    stop = _zip_table(d, k)
+    return stop - at if stop else 0
+
+
+def _zip_table(d: bytes, k: int) -> int:
+    """Where an archive ends whose central directory begins at an offset; 0 if none does."""
     while d[k : k + 4] == b"PK\x01\x02" and k + 46 <= len(d):
         k += 46 + sum(struct.unpack_from("<HHH", d, k + 28))
-    return k + 22 + struct.unpack_from("<H", d, k + 20)[0] - at if d[k : k + 4] == b"PK\x05\x06" and k + 22 <= len(d) else 0
+    return k + 22 + struct.unpack_from("<H", d, k + 20)[0] if d[k : k + 4] == ZIP_END and k + 22 <= len(d) else 0
 
 
-def _flac(d: bytes, at: int) -> int:
+def _zip_from_end(d: bytes, at: int, marks: Marks) -> int:
+    """Length of the archive at an offset by the end record that points back to it (no 64-bit sizes)."""
+    if "archives" not in marks:
+        marks["archives"] = {}
+        for end in marks[ZIP_END]:
+            if end + 22 <= len(d):
+                size, start = struct.unpack_from("<II", d, end + 12)
+                marks["archives"].setdefault(end - size - start, end - size)
+    table = marks["archives"].get(at, -1)
+    stop = _zip_table(d, table) if table >= 0 else 0
+    return stop - at if stop else 0
+
+
+def _flac(d: bytes, at: int, marks: Marks) -> int:
     return len(d) - at if len(d) >= at + 42 and d[at + 4] & 127 == 0 and d[at + 5 : at + 8] == b"\x00\x00\x22" else 0
 
 
-def _au(d: bytes, at: int) -> int:
+def _au(d: bytes, at: int, marks: Marks) -> int:
     if at + 24 > len(d):
         return 0
     head, size, code, rate, channels = struct.unpack_from(">5I", d, at + 4)
     return head + size if head >= 24 and 1 <= code <= 27 and rate and 0 < channels < 256 and at + head + size <= len(d) else 0
 
 
-VALIDATE: dict[str, Callable[[bytes, int], int]] = {
+VALIDATE: dict[str, Callable[[bytes, int, Marks], int]] = {
     "image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "application/gzip": _gzip, "application/pdf": _pdf, "application/zip": _zip,
     "audio/flac": _flac, "audio/basic": _au,
 }
@@ -149,20 +178,26 @@ def automaton() -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
     for magic, kind in MAGIC.items():
         out.add_word(magic.decode("latin-1"), (kind, len(magic)))
+    for mark in (JPEG_END, PDF_END, PDF_TABLE, ZIP_END):
+        out.add_word(mark.decode("latin-1"), (mark, len(mark)))
     out.make_automaton()
     return out
 
 
 def sniff(data: bytes) -> list[tuple[str, int, int]]:
-    """(type, offset, length) of every valid medium, outer ones before those inside them. A signature without valid structure is none."""
-    found = []
+    """(type, offset, length) of every valid medium, outer ones before those inside them. A signature without valid structure is none.
+
+    One pass finds the signatures and the marks inside formats, so a text full of signatures without an end is not read again for each.
+    """
+    found, starts, marks = [], [], {mark: [] for mark in (JPEG_END, PDF_END, PDF_TABLE, ZIP_END)}
     for end, (kind, size) in automaton().iter(data.decode("latin-1")):
-        at = end + 1 - size
+        (marks[kind] if kind in marks else starts).append(end + 1 - size if kind in marks else (kind, end + 1 - size))
+    for kind, at in starts:
         if kind == "riff":
             kind = RIFF_FORMS.get(data[at + 8 : at + 12], "")
             length = riff_chunks(data, at)[0] if kind else 0
         else:
-            length = VALIDATE[kind](data, at)
+            length = VALIDATE[kind](data, at, marks)
         if length:
             found.append((kind, at, length))
     return sorted(found, key=lambda x: (x[1], -x[2]))
@@ -209,7 +244,7 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     The payload is the text's UTF-8 bytes with zeros up to a positive multiple of 64. The file's declared type is octet-stream; the sniffer
     must find the sound file, whose samples are then the payload that the digests and features come from. Null and empty texts are 64
     zeros. Equal texts give equal rows but for doc_id; repeated rows each return. keep_media adds the file itself as `media`. A file over
-    4 GiB does not fit the format and raises; extra columns are ignored.
+    4 GiB does not fit the format and raises; very long texts are stored whole; extra columns are ignored.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
