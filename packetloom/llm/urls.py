@@ -100,21 +100,21 @@ def fit(accepted: list[str], rejected: list[str], order: int = 4) -> RatioModel:
     return model
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str, str]] = RULES, train_limit: int = 20_000, order: int = 4) -> DataFrame:
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str, str]] = RULES, train_limit: int = 20_000, most_chars: int = 2048, order: int = 4) -> DataFrame:
     """(page_id, host, path, rule, verdict, score), one row per input row.
 
-    A rule's verdict stands; else the ratio model's: allow if the score reaches the threshold. The models learn from URLs that rules
-    judge, train_limit distinct ones a class at most (those of smallest hash), so the model sent to the executors has a fixed bound.
-    Null urls and those without :// have empty host and path, no rule and score 0 and go by the threshold like any other. With a class
-    unseen the threshold is 0. Repeated rows each return; an empty table returns no row. Extra columns are ignored.
+    A rule's verdict stands; else the ratio model's: allow if the score of the whole url reaches the threshold. The models learn from
+    URLs that rules judge, train_limit distinct ones a class at most (those of smallest hash) of most_chars characters at most, so the
+    model sent to the executors has a fixed bound; URLs of any length are scored. Null urls and those without :// have empty host and
+    path and no rule and go by their score (a null's is that of the empty text). With a class unseen the threshold is 0. Repeated rows
+    each return; an empty table returns no row. Extra columns are ignored.
     """
     url = F.col("url")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url")).select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url")).select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), F.coalesce(url, F.lit("")).alias("url"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = rows.withColumns({"rule": rule, "ruled": verdict})
-    text = F.concat("host", "path")
-    known = ruled.where("ruled is not null").select(text.alias("text"), "ruled").distinct()
-    sample = {kind: [r[0] for r in known.where(F.col("ruled") == kind).orderBy(F.xxhash64("text"), "text").limit(train_limit).select("text").collect()] for kind in ("allow", "block")}
+    known = ruled.where(F.col("ruled").isNotNull() & (F.length("url") <= most_chars)).select("url", "ruled").distinct()
+    sample = {kind: [r[0] for r in known.where(F.col("ruled") == kind).orderBy(F.xxhash64("url"), "url").limit(train_limit).select("url").collect()] for kind in ("allow", "block")}
     model = fit(sample["allow"], sample["block"], order)
     sent = pages.sparkSession.sparkContext.broadcast((model.accepted.next, model.rejected.next, model.threshold))
     cached: list[RatioModel] = []
@@ -127,10 +127,10 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
                 half.next, half.sums = counts, {h: (sum(c.values()), len(c)) for h, c in counts.items()}
                 halves.append(half)
             cached.append(RatioModel(*halves, threshold=sent.value[2]))
-        m, host, path, ruled = cached[0], *(batch.column(k).to_pylist() for k in (1, 2, 4))
-        score = [m.score(h + p) if h or p else 0.0 for h, p in zip(host, path, strict=True)]
+        m, host, path, url, ruled = cached[0], *(batch.column(k).to_pylist() for k in (1, 2, 3, 5))
+        score = list(map(m.score, url))
         verdict = [r or ("allow" if s >= m.threshold else "block") for r, s in zip(ruled, score, strict=True)]
-        return common.batch_of(page_id=(batch.column(0), pa.int64()), host=(host, pa.string()), path=(path, pa.string()), rule=(batch.column(3), pa.string()), verdict=(verdict, pa.string()), score=(score, pa.float64()))
+        return common.batch_of(page_id=(batch.column(0), pa.int64()), host=(host, pa.string()), path=(path, pa.string()), rule=(batch.column(4), pa.string()), verdict=(verdict, pa.string()), score=(score, pa.float64()))
 
     return common.map_batches(ruled, run, "page_id long, host string, path string, rule string, verdict string, score double")
 

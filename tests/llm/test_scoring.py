@@ -194,3 +194,21 @@ def test_ratio_model():
 
 def test_urls_empty(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_ratio_model_on_held_back_urls(spark, sf_dir):
+    """Rules judge URLs; models learnt from half of those judged must agree with the rules on the other half."""
+    d = sf_dir.replace("sf0.001", "sf0.1")
+    rows = urls.judge(spark.read.parquet(f"{d}/pages.parquet")).where("rule is not null").select("page_id", "verdict").collect()
+    url = {r.page_id: r.url for r in spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url").collect()}
+    by = {k: sorted({url[r.page_id] for r in rows if r.verdict == k}, key=lambda u: zlib.crc32(u.encode())) for k in ("allow", "block")}
+    model = urls.fit(by["allow"][::2], by["block"][::2])
+    right = [model.score(u) >= model.threshold for u in by["allow"][1::2]] + [model.score(u) < model.threshold for u in by["block"][1::2]]
+    assert len(right) > 50 and np.mean(right) >= 0.9
+
+
+def test_whole_urls_are_scored(spark):
+    rows = [(k, f"http://example.com/en/7{k}?safe=yes") for k in range(60)] + [(100 + k, f"http://a.com/en/{k}?casino=win") for k in range(60)]
+    rows += [(500, "http://other.info/x?casino=win"), (501, "http://other.info/x?safe=yes"), (502, None), (503, "no scheme"), (504, "http://a.com/en/" + "y" * 10_000)]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got[500].score < got[501].score and got[502].rule is None and got[503].host == "" and got[504].verdict == "block"

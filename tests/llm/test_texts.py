@@ -168,6 +168,62 @@ def test_inferred_format_finds_what_the_patterns_miss(spark):
     assert got[900] == ["format"] and got[901] == [] and got[902] == [] and got[0] == ["assign"]
 
 
+def test_recall_and_precision_of_inferred_formats(docs):
+    """Held-back credentials of labelled formats, put into texts without a keyword; and ordinary tokens, which must stay."""
+    rng = np.random.default_rng(2)
+    code = lambda chars, n: "".join(rng.choice(list(chars), n))
+    upper, hexes = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789abcdef"
+    labelled = [("0", code(hexes, 40)) for _ in range(150)] + [("0", code(hexes, 12)) for _ in range(150)] + [("1", "AKIA" + code(upper, 16)) for _ in range(150)]
+    words = sorted({w for r in docs.collect() for w in (r.text or "").split() if w.isalpha() and len(w) > 5})
+    scanner = secrets.Scanner(secrets.grammars(labelled + [(secrets.PLAIN, w) for w in words[:300]]), 5.5, 0.75)
+    hidden = [code(hexes, 40) for _ in range(100)] + [code(hexes, 12) for _ in range(100)] + ["ASIA" + code(upper, 16) for _ in range(50)]
+    assert np.mean([any(k == 3 for _, k, _ in scanner.spans(f"see {x[:20]}x{x[20:]} there")) for x in hidden[:100]] + [scanner.likely(x) for x in hidden]) > 0.9
+    ordinary = [c[2] for r in docs.collect() for c in secrets.candidates(r.text or "", secrets.base_spans(r.text or ""))]
+    assert np.mean([scanner.likely(x) for x in ordinary] or [0]) < 0.05 and np.mean([scanner.likely(w) for w in words]) < 0.02
+
+
+def test_candidates_beyond_base_spans():
+    inner = "prefix" + "0123456789abcdef" * 2 + "TAIL9"
+    text = f"{inner} password={'a1' * 10} {'ab12' * 10}"
+    found = secrets.candidates(text, secrets.base_spans(text))
+    assert [x[2] for x in found] == [inner]
+    long = " ".join(["x1" * 5 + " token=" + "z9" * 6] * 20_000)  # time in proportion to the text
+    assert len(secrets.candidates(long, secrets.base_spans(long))) == 20_000
+
+
+def test_signatures_without_an_end_take_linear_time():
+    import time
+
+    began = time.time()
+    assert media.sniff(b"%PDF-" * 400_000 + b"%%EOF") == []
+    assert time.time() - began < 20
+    pdf = b"%PDF-1.4 body startxref 0 %%EOF"
+    assert media.sniff(b"%PDF- " + pdf)[:2] == [("application/pdf", 0, 6 + len(pdf)), ("application/pdf", 6, len(pdf))]
+
+
+def test_streamed_archives():
+    import io
+    import zipfile
+
+    class Pipe(io.RawIOBase):
+        def __init__(self):
+            self.data = b""
+
+        def writable(self):
+            return True
+
+        def write(self, b):
+            self.data += bytes(b)
+            return len(b)
+
+    pipe = Pipe()
+    with zipfile.ZipFile(pipe, "w") as z:  # not seekable: sizes come after the data
+        z.writestr("a.txt", "hello " * 50)
+        z.writestr("b.txt", "there")
+    assert pipe.data[6] & 8
+    assert media.sniff(b"xx" + pipe.data + b"yy")[0] == ("application/zip", 2, len(pipe.data))
+
+
 def test_merged_states_are_fewer_and_probabilities_sum_to_one():
     a = secrets.Automaton([f"ab{k:06d}" for k in range(300)])
     assert a.states < 60
