@@ -125,6 +125,16 @@ def validation_errors(df: DataFrame, most: int = ERRORS_MOST) -> DataFrame:
     return df.select(F.explode(each).alias("e")).where("e.bad").select("e.field", "e.expected_type", "e.value").limit(most)
 
 
+def coercion_warnings(df: DataFrame, most: int = WARNINGS_MOST) -> list[str]:
+    """A line for each field of which values are lost when they are cast to the schema's types, with their number; at most `most` lines."""
+    have = dict(df.dtypes)
+    lost = {c: F.count_if(F.col(f"`{c}`").isNotNull() & coerced(F.col(f"`{c}`"), have[c], ECS_TYPES[c]).isNull()) for c in df.columns if c in ECS_TYPES}
+    if not lost:
+        return []
+    row = df.agg(*[n.alias(f"x{k}") for k, n in enumerate(lost.values())]).first()
+    return [f"{c}: {n} of its {have[c]} values do not fit {ECS_TYPES[c]} and become null" for c, n in zip(lost, row, strict=True) if n][:most]
+
+
 def require_valid(df: DataFrame) -> DataFrame:
     """df, failing with an error at the first offending value of a run (the strict mode)."""
     have = dict(df.dtypes)
@@ -146,7 +156,7 @@ def report(source: DataFrame, ecs: DataFrame, found: Mapping) -> dict:
     return {
         "total_source_fields": found.total, "mapped_fields": len(found.mapped), "unmapped_fields": found.unmapped, "mapping_coverage_pct": found.coverage,
         "fields_with_defaults": found.defaults, "timestamp_range": [ends.a, ends.b] if ends else None, "validation_error_count": sum(counts.values()),
-        "errors_by_field": counts, "validation_errors": errors,
+        "errors_by_field": counts, "validation_errors": errors, "type_coercion_warnings": coercion_warnings(source_as_ecs(source, found)),
     }
 
 

@@ -15,7 +15,7 @@ ALTERNATIVES = ("two-sided", "greater", "less")
 def judged(df: DataFrame, test: str, metric: str, observed: Column, expected: Column, z: Column, p: Column, alpha: float) -> DataFrame:
     out = df.select(F.lit(test).alias("test"), F.lit(metric).alias("metric"), observed.cast("double").alias("observed"), expected.cast("double").alias("expected"), z.cast("double").alias("z"), p.cast("double").alias("p_value"), F.lit(float(alpha)).alias("alpha"))
     out = out.withColumns({"reject_null": F.col("p_value") < F.col("alpha"), "severity": severity(F.col("p_value"))})
-    verdict = F.when(F.col("reject_null"), "REJECT H0").otherwise("FAIL TO REJECT H0")
+    verdict = F.when(F.col("reject_null"), "differs").otherwise("no evidence of a difference")
     return out.withColumn("interpretation", F.format_string("%s: %s %.4f against %.4f at alpha %s", verdict, "metric", "observed", "expected", F.col("alpha").cast("string")))
 
 

@@ -6,8 +6,10 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler
@@ -130,22 +132,27 @@ def evaluate(predicted: DataFrame, label: str = "label", prediction: str = "pred
 
 def cross_validate(df: DataFrame, folds: int = 5, key: str = "uid", **params: object) -> dict[str, dict[str, float]]:
     """Mean and deviation of four metrics over folds; scaling is fitted inside each fold, on its training rows alone."""
-    marked = df.withColumn("_fold", fold_of(F.col(key), folds)).persist()
+    marked = df.withColumn("_fold", fold_of(F.col(key), folds))
+    if keep := not df.is_cached:
+        marked.persist()
     found = []
     for k in range(folds):
         train, test = marked.where(F.col("_fold") != k).drop("_fold"), marked.where(F.col("_fold") == k).drop("_fold")
         found.append(evaluate(SVM(**params).fit(train).predict(test)).first())
-    marked.unpersist()
+    if keep:
+        marked.unpersist()
     return {m: {"mean": float(np.mean([r[m] for r in found])), "std": float(np.std([r[m] for r in found]))} for m in ("accuracy", "precision", "recall", "f1")}
 
 
-def grid_search(df: DataFrame, grid: dict[str, Sequence] | None = None, folds: int = 5, key: str = "uid") -> dict:
-    """The parameters of best mean f1 by cross-validation, and all results."""
+def grid_search(df: DataFrame, grid: dict[str, Sequence] | None = None, folds: int = 5, key: str = "uid", parallelism: int = 4) -> dict:
+    """The parameters of best mean f1 by cross-validation, and all results. Up to `parallelism` fits share the cluster at a time."""
     grid = grid or {"C": (0.1, 1.0, 10.0), "gamma": ("scale", 0.1), "kernel": ("rbf", "linear")}
-    results = []
-    for values in product(*grid.values()):
-        params = dict(zip(grid, values, strict=True))
-        results.append({"params": params, **cross_validate(df, folds, key, **params)})
+    every = [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
+    df = df.persist()
+    with ThreadPool(parallelism) as pool:
+        found = pool.map(inheritable_thread_target(df.sparkSession)(lambda params: cross_validate(df, folds, key, **params)), every)
+    df.unpersist()
+    results = [{"params": params, **scores} for params, scores in zip(every, found, strict=True)]
     best = max(results, key=lambda r: r["f1"]["mean"])
     return {"best_params": best["params"], "best_f1": best["f1"]["mean"], "results": results}
 

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from ..operators import ecs, eda, enrich, reports, timeseries
 from ..operators.normalize import merge, normalize
-from ..schema import UNIFIED_TO_ECS, resolve
+from ..schema import LOGS, UNIFIED_TO_ECS, resolve
 from ..session import session
 from ..sources import sinks
 from ..sources.indicators import Indicators
-from ..sources.logs import read_available, read_events_csv
+from ..sources.logs import read_available, read_events_csv, read_log
 
 
 def load(spark: SparkSession, logs: str, strict: bool = False, only: str | None = None) -> DataFrame:
@@ -67,6 +67,18 @@ def standardize(spark: SparkSession, logs: str, feeds: str | None = None, out: s
     return mapped, report
 
 
+def convert(spark: SparkSession, path: str, out: str | None = None, kind: str | None = None) -> tuple[str, int]:
+    """One log to Parquet, by the schema of its kind if it is given or the file's name begins with it; returns the folder and its rows.
+
+    Without `out` the folder stands beside the log, with .parquet for the log's extension.
+    """
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    kind = kind or next((k for k in LOGS if name.startswith(k)), None)
+    out = out or f"{path.rstrip('/').removesuffix('.' + name.rsplit('.', 1)[-1]) if '.' in name else path.rstrip('/')}.parquet"
+    sinks.write_parquet(read_log(spark, path, LOGS.get(kind)), out)
+    return out, spark.read.parquet(out).count()
+
+
 def detect_spikes(spark: SparkSession, path: str, out: str | None = None, bucket: str = "1min", window: int = 10, multiplier: float = 2.0) -> tuple[DataFrame, dict]:
     """Spikes of all events of a CSV, unified or standardised, against a trailing moving average."""
     df = read_events_csv(spark, path)
@@ -101,8 +113,14 @@ def main(args: list[str] | None = None) -> None:
     d.add_argument("--bucket", default="1min")
     d.add_argument("--window", type=int, default=10)
     d.add_argument("--multiplier", type=float, default=2.0)
+    c = commands.add_parser("convert")
+    c.add_argument("log")
+    c.add_argument("out", nargs="?")
+    c.add_argument("--kind", choices=list(LOGS))
     o, spark = top.parse_args(args), session()
-    if o.command == "analyze":
+    if o.command == "convert":
+        print("{1} rows in {0}".format(*convert(spark, o.log, o.out, o.kind)))
+    elif o.command == "analyze":
         print(reports.security_report(analyze(spark, o.logs, o.feeds, o.out)[1]))
     elif o.command == "standardize":
         print(standardize(spark, o.logs, o.feeds, o.out, o.strict, o.only)[1])

@@ -58,6 +58,15 @@ def hourly(spark: SparkSession, d: str) -> DataFrame:
     return timeseries.spike_series(events(spark, d), "1h").withColumn("x", F.col("connections").cast("double"))
 
 
+CONN_SQL, DNS_SQL = (f"SELECT * FROM ({EVENTS_SQL}) WHERE {x}" for x in ("timestamp < TIMESTAMP '2024-01-20' AND CAST(string_split(src_ip, '.')[4] AS INT) % 5 <> 0", "timestamp >= TIMESTAMP '2024-01-10' AND CAST(string_split(src_ip, '.')[4] AS INT) % 4 <> 0"))
+
+
+def two_logs(spark, d):
+    """Connections and look-ups of times and hosts that overlap in part, so either side has what the other lacks."""
+    u, host = events(spark, d), F.element_at(F.split("src_ip", r"\."), 4).cast("int")
+    return u.where((F.col("timestamp") < F.lit("2024-01-20").cast("timestamp_ntz")) & (host % 5 != 0)), u.where((F.col("timestamp") >= F.lit("2024-01-10").cast("timestamp_ntz")) & (host % 4 != 0))
+
+
 HOURLY_SQL = f"""
     SELECT b, coalesce(c, 0) AS connections, coalesce(n, 0) AS nxdomain, coalesce(f, 0) AS failed FROM
     (SELECT unnest(range(lo, hi + 1, 3600)) AS b FROM (SELECT min({HOUR}) AS lo, max({HOUR}) AS hi FROM ({EVENTS_SQL})))
@@ -189,9 +198,21 @@ def top_external_senders(spark, d):
     return eda.top_external_senders(events(spark, d))
 
 
-@register("internal_ip_flag", f"SELECT uid, true AS src_internal, starts_with(dst_ip, '192.168.') AS dst_internal, NOT starts_with(dst_ip, '192.168.') AS dst_public FROM ({EVENTS_SQL})")
+ADDRESSES = ["10.1.2.3", "172.16.0.1", "172.31.255.255", "172.32.0.0", "192.168.9.9", "8.8.8.8", "11.0.0.1", "300.1.1.1", "not an address", None]
+OCTET_SQL = "TRY_CAST(string_split(ip, '.')[{}] AS INT)"
+IPV4_SQL = "len(string_split(ip, '.')) = 4 AND " + " AND ".join(f"coalesce({OCTET_SQL.format(k)} BETWEEN 0 AND 255, false)" for k in (1, 2, 3, 4))
+PRIVATE_SQL = f"coalesce({IPV4_SQL} AND ({OCTET_SQL.format(1)} = 10 OR ({OCTET_SQL.format(1)} = 172 AND {OCTET_SQL.format(2)} BETWEEN 16 AND 31) OR ({OCTET_SQL.format(1)} = 192 AND {OCTET_SQL.format(2)} = 168)), false)"
+ADDRESS_SQL = "[" + ", ".join("NULL" if x is None else f"'{x}'" for x in ADDRESSES) + f"][CAST(CAST(uid AS BIGINT) % {len(ADDRESSES)} AS INT) + 1]"
+
+
+def some_address() -> Column:
+    """One of ADDRESSES, by the event's number."""
+    return F.get(F.array(*[F.lit(x) for x in ADDRESSES]), (F.col("uid").cast("long") % len(ADDRESSES)).cast("int"))
+
+
+@register("internal_ip_flag", f"SELECT uid, {PRIVATE_SQL.replace('(ip, ', '(src_ip, ')} AS src_internal, {PRIVATE_SQL} AS dst_internal, coalesce({IPV4_SQL} AND NOT {PRIVATE_SQL}, false) AS dst_public FROM (SELECT uid, src_ip, {ADDRESS_SQL} AS ip FROM ({EVENTS_SQL}))")
 def internal_ip_flag(spark, d):
-    return eda.internal_flags(events(spark, d)).select("uid", "src_internal", "dst_internal", "dst_public")
+    return eda.internal_flags(events(spark, d).withColumn("dst_ip", some_address())).select("uid", "src_internal", "dst_internal", "dst_public")
 
 
 @register("null_counts", f"SELECT 'bytes_recv' AS \"column\", count(*) FILTER (bytes_recv IS NULL) AS nulls FROM ({EVENTS_SQL}) UNION ALL SELECT 'src_ip', count(*) FILTER (src_ip IS NULL) FROM ({EVENTS_SQL}) UNION ALL SELECT 'dns_query', count(*) FILTER (dns_query IS NULL) FROM ({EVENTS_SQL})")
@@ -214,16 +235,31 @@ def country_stats(spark, d):
     return eda.country_stats(rows.select(F.col("n_name").alias("dst_country"), F.col("o_orderkey").alias("uid"), F.col("o_custkey").alias("dst_ip"), F.floor("o_totalprice").alias("bytes_sent")))
 
 
-RANGES = [("44.230.90.0", "44.230.90.9", "US", 100, "north"), ("44.230.90.10", "44.230.90.29", "DE", 200, "middle"), ("44.230.0.0", "44.230.255.255", "FR", 300, "wide"), ("192.168.0.0", "192.168.255.255", "XX", 1, "private"), ("2001:4860::", "2001:4860:ffff:ffff:ffff:ffff:ffff:ffff", "US", 400, "six")]
+RANGES = [("44.230.90.0", "44.230.90.9", "US", 100, "north"), ("44.230.90.10", "44.230.90.29", "DE", 200, "middle"), ("44.230.0.0", "44.230.255.255", "FR", 300, "wide"), ("192.168.0.0", "192.168.255.255", "XX", 1, "private"), ("2001:4860::", "2001:4860:ffff:ffff:ffff:ffff:ffff:ffff", "US", 400, "six"), ("2a00:1450::", "2a00:1450::0fff:ffff", "AA", 501, "outer"), ("2a00:1450::10", "2a00:1450::1f", "BB", 502, "inner"), ("2a00:1450::11", "2a00:1450::11", "CC", 503, "one")]
+
+
+# Some destinations become IPv6 addresses of three nested ranges that share all but their last digits.
+SIX_SQL = "CAST(uid AS BIGINT) % 64"
+
+
+def geo_events(spark, d):
+    six = F.concat(F.lit("2a00:1450::"), F.lower(F.hex(F.col("uid").cast("long") % 64)))
+    number = F.col("uid").cast("long")
+    return events(spark, d).withColumns({"dst_ip": F.when(number % 3 == 1, six).otherwise(F.col("dst_ip")), "src_ip": F.when(number % 5 == 0, F.lit("44.230.200.1")).otherwise(F.col("src_ip"))})
 
 
 @register("geo_lookup", f"""
-    SELECT uid, CASE WHEN starts_with(dst_ip, '192.168.') THEN NULL WHEN k < 10 THEN 'US' WHEN k < 30 THEN 'DE' ELSE 'FR' END AS dst_ip_country,
-           CAST(CASE WHEN starts_with(dst_ip, '192.168.') THEN NULL WHEN k < 10 THEN 100 WHEN k < 30 THEN 200 ELSE 300 END AS BIGINT) AS dst_ip_asn
+    SELECT uid, CASE WHEN CAST(uid AS BIGINT) % 3 = 1 THEN CASE WHEN {SIX_SQL} = 17 THEN 'CC' WHEN {SIX_SQL} BETWEEN 16 AND 31 THEN 'BB' ELSE 'AA' END
+                WHEN starts_with(dst_ip, '192.168.') THEN NULL WHEN k < 10 THEN 'US' WHEN k < 30 THEN 'DE' ELSE 'FR' END AS dst_ip_country,
+           CAST(CASE WHEN CAST(uid AS BIGINT) % 3 = 1 THEN CASE WHEN {SIX_SQL} = 17 THEN 503 WHEN {SIX_SQL} BETWEEN 16 AND 31 THEN 502 ELSE 501 END
+                WHEN starts_with(dst_ip, '192.168.') THEN NULL WHEN k < 10 THEN 100 WHEN k < 30 THEN 200 ELSE 300 END AS BIGINT) AS dst_ip_asn,
+           CASE WHEN CAST(uid AS BIGINT) % 3 = 1 THEN CASE WHEN {SIX_SQL} = 17 THEN 'one' WHEN {SIX_SQL} BETWEEN 16 AND 31 THEN 'inner' ELSE 'outer' END
+                WHEN starts_with(dst_ip, '192.168.') THEN NULL WHEN k < 10 THEN 'north' WHEN k < 30 THEN 'middle' ELSE 'wide' END AS dst_ip_asn_org,
+           CASE WHEN CAST(uid AS BIGINT) % 5 = 0 THEN 'FR' END AS src_ip_country, CAST(CASE WHEN CAST(uid AS BIGINT) % 5 = 0 THEN 300 END AS BIGINT) AS src_ip_asn, CASE WHEN CAST(uid AS BIGINT) % 5 = 0 THEN 'wide' END AS src_ip_asn_org
     FROM (SELECT uid, dst_ip, CAST(string_split(dst_ip, '.')[4] AS INT) AS k FROM ({EVENTS_SQL}))""")
 def geo_lookup(spark, d):
     ranges = spark.createDataFrame(RANGES, "start_ip string, end_ip string, country string, asn long, org string")
-    return enrich.geo(events(spark, d), ranges, ("dst_ip",)).select("uid", "dst_ip_country", "dst_ip_asn")
+    return enrich.geo(geo_events(spark, d), ranges).select("uid", *[f"{c}_{x}" for c in ("dst_ip", "src_ip") for x in ("country", "asn", "asn_org")])
 
 
 @register("country_map", f"SELECT uid, CASE conn_state WHEN 'SF' THEN 'normal' WHEN 'S0' THEN 'unanswered' END AS meaning FROM ({EVENTS_SQL})")
@@ -236,14 +272,16 @@ def bucket_hourly_gapfill(spark, d):
     return timeseries.spike_series(events(spark, d), "1h").select(epoch("bucket").alias("bucket_us"), "connections", "nxdomain", "failed")
 
 
+DAY = "epoch_us(timestamp) // 86400000000 * 86400"
+
+
 @register("conn_dns_series", f"""
-    SELECT b * 1000000 AS bucket_us, f AS failed_connections, c AS total_connections, round(f * 100.0 / c, 6) AS failed_rate,
-           round(CASE WHEN r > 0 THEN s / r ELSE 0 END, 6) AS bytes_ratio, n AS nxdomain_count, round(n * 100.0 / c, 6) AS nxdomain_rate
-    FROM (SELECT epoch_us(timestamp) // 86400000000 * 86400 AS b, count(*) AS c, count(*) FILTER ({FAILED_SQL}) AS f, sum(bytes_sent) AS s, coalesce(sum(bytes_recv), 0) AS r,
-                 count(*) FILTER (dns_rcode = 'NXDOMAIN') AS n FROM ({EVENTS_SQL}) GROUP BY 1)""")
+    SELECT coalesce(cs.b, ns.b) * 1000000 AS bucket_us, coalesce(f, 0) AS failed_connections, coalesce(c, 0) AS total_connections, round(CASE WHEN c > 0 THEN f * 100.0 / c ELSE 0 END, 6) AS failed_rate,
+           round(CASE WHEN r > 0 THEN s / r ELSE 0 END, 6) AS bytes_ratio, coalesce(x, 0) AS nxdomain_count, round(CASE WHEN n > 0 THEN x * 100.0 / n ELSE 0 END, 6) AS nxdomain_rate
+    FROM (SELECT {DAY} AS b, count(*) AS c, count(*) FILTER ({FAILED_SQL}) AS f, sum(bytes_sent) AS s, coalesce(sum(bytes_recv), 0) AS r FROM ({CONN_SQL}) GROUP BY 1) cs
+    FULL JOIN (SELECT {DAY} AS b, count(*) FILTER (dns_rcode = 'NXDOMAIN') AS x, count(dns_rcode) AS n FROM ({DNS_SQL}) GROUP BY 1) ns ON cs.b = ns.b""")
 def conn_dns_series(spark, d):
-    u = events(spark, d)
-    return timeseries.series(u, u, "1d").select(epoch("bucket").alias("bucket_us"), "failed_connections", "total_connections", "failed_rate", "bytes_ratio", "nxdomain_count", "nxdomain_rate").withColumns(r6("failed_rate", "bytes_ratio", "nxdomain_rate"))
+    return timeseries.series(*two_logs(spark, d), "1d").select(epoch("bucket").alias("bucket_us"), "failed_connections", "total_connections", "failed_rate", "bytes_ratio", "nxdomain_count", "nxdomain_rate").withColumns(r6("failed_rate", "bytes_ratio", "nxdomain_rate"))
 
 
 @register("rolling_stats", f"""
@@ -266,15 +304,15 @@ def sma_summary(spark, d):
 
 
 METRICS_SQL = f"""
-    SELECT b, f AS failed_rate, q AS bytes_ratio, n AS nxdomain_rate FROM (SELECT {HOUR} AS b, count(*) FILTER ({FAILED_SQL}) * 100.0 / count(*) AS f,
-    avg(CASE WHEN bytes_recv > 0 THEN bytes_sent / bytes_recv END) AS q, count(*) FILTER (dns_rcode = 'NXDOMAIN') * 100.0 / count(dns_rcode) AS n FROM ({EVENTS_SQL}) GROUP BY 1)
+    SELECT coalesce(c.b, n.b) AS b, f AS failed_rate, q AS bytes_ratio, r AS nxdomain_rate FROM
+    (SELECT {HOUR} AS b, count(*) FILTER ({FAILED_SQL}) * 100.0 / count(*) AS f, avg(CASE WHEN bytes_recv > 0 THEN bytes_sent / bytes_recv END) AS q FROM ({CONN_SQL}) GROUP BY 1) c
+    FULL JOIN (SELECT {HOUR} AS b, count(*) FILTER (dns_rcode = 'NXDOMAIN') * 100.0 / count(dns_rcode) AS r FROM ({DNS_SQL}) GROUP BY 1) n ON c.b = n.b
 """
-LONG_SQL = f"SELECT b, 'failed_rate' AS metric, CAST(failed_rate AS DOUBLE) AS value FROM ({METRICS_SQL}) UNION ALL SELECT b, 'bytes_ratio', bytes_ratio FROM ({METRICS_SQL}) WHERE bytes_ratio IS NOT NULL UNION ALL SELECT b, 'nxdomain_rate', CAST(nxdomain_rate AS DOUBLE) FROM ({METRICS_SQL})"
+LONG_SQL = " UNION ALL ".join(f"SELECT b, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM ({METRICS_SQL}) WHERE {m} IS NOT NULL" for m in ("failed_rate", "bytes_ratio", "nxdomain_rate"))
 
 
 def baseline_values(spark, d):
-    u = events(spark, d)
-    return baseline.long_form(baseline.windowed_metrics(u, u, "1h"))
+    return baseline.long_form(baseline.windowed_metrics(*two_logs(spark, d), "1h"))
 
 
 @register("baseline_stats", f"SELECT metric, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, count(*) AS n FROM ({LONG_SQL}) GROUP BY 1")
@@ -289,13 +327,13 @@ def baseline_zscores(spark, d):
 
 
 @register("per_host_baseline", f"""
-    SELECT src_ip AS host, count(*) AS total_connections, count(*) FILTER (conn_state IN ('S0','REJ','RSTO','RSTR')) AS failed_connections,
-           round(count(*) FILTER (conn_state IN ('S0','REJ','RSTO','RSTR')) * 100.0 / count(*), 6) AS failed_rate,
-           round(CASE WHEN sum(bytes_recv) > 0 THEN sum(bytes_sent) / sum(bytes_recv) END, 6) AS bytes_ratio, count(*) AS total_dns, count(*) FILTER (dns_rcode = 'NXDOMAIN') AS nxdomain_count
-    FROM ({EVENTS_SQL}) GROUP BY 1""")
+    SELECT c.*, n.total_dns, n.nxdomain_count, n.nxdomain_rate FROM
+    (SELECT src_ip AS host, count(*) AS total_connections, count(*) FILTER (conn_state IN ('S0','REJ','RSTO','RSTR')) AS failed_connections,
+            round(count(*) FILTER (conn_state IN ('S0','REJ','RSTO','RSTR')) * 100.0 / count(*), 6) AS failed_rate,
+            round(CASE WHEN sum(bytes_recv) > 0 THEN sum(bytes_sent) / sum(bytes_recv) END, 6) AS bytes_ratio FROM ({CONN_SQL}) GROUP BY 1) c
+    LEFT JOIN (SELECT src_ip AS host, count(*) AS total_dns, count(*) FILTER (dns_rcode = 'NXDOMAIN') AS nxdomain_count, round(count(*) FILTER (dns_rcode = 'NXDOMAIN') * 100.0 / count(*), 6) AS nxdomain_rate FROM ({DNS_SQL}) GROUP BY 1) n USING (host)""")
 def per_host_baseline(spark, d):
-    u = events(spark, d)
-    return baseline.per_host(u, u).select("host", "total_connections", "failed_connections", "failed_rate", "bytes_ratio", "total_dns", "nxdomain_count").withColumns(r6("failed_rate", "bytes_ratio"))
+    return baseline.per_host(*two_logs(spark, d)).drop("bytes_sent", "bytes_recv").withColumns(r6("failed_rate", "bytes_ratio", "nxdomain_rate"))
 
 
 CUSUM_SQL = f"""
@@ -361,6 +399,21 @@ def stationarity_halves(spark, d):
     return timeseries.stationarity(hourly(spark, d), "x").select("n", "mean_first", "mean_second", "var_first", "var_second", "is_stationary").withColumns(r6("mean_first", "mean_second", "var_first", "var_second"))
 
 
+#: Upper tail of the normal distribution by its power series, summed in logarithms.
+TAIL_OF = "(CASE WHEN {z} >= 0 THEN 1 ELSE -1 END * greatest(0.0, 0.5 - (SELECT sum(exp((2 * n + 1) * ln(greatest(abs({z}), 1e-300)) - (n + 1) * ln(2.0) - lgamma(n + 1.5) + 0.5 * ln(pi()) - {z} * {z} / 2 - 0.5 * ln(2 * pi()))) FROM range(4000) r(n))) + CASE WHEN {z} >= 0 THEN 0 ELSE 1 END)"
+
+
+def judged_sql(inner: str, two_sided: bool) -> str:
+    """The verdict of (metric, observed, expected, z) rows, as the tests give it."""
+    p = f"least(1.0, 2 * {TAIL_OF.format(z='abs(z)')})" if two_sided else TAIL_OF.format(z="z")
+    return f"""SELECT metric, round(observed, 6) AS observed, round(expected, 6) AS expected, round(z, 6) AS z, round(p, 6) AS p_value, p < 0.05 AS reject_null,
+        CASE WHEN p < 0.001 THEN 'CRITICAL' WHEN p < 0.01 THEN 'HIGH' WHEN p < 0.05 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM (SELECT *, {p} AS p FROM ({inner}))"""
+
+
+def verdict(df: DataFrame) -> DataFrame:
+    return df.select("metric", "observed", "expected", "z", "p_value", "reject_null", "severity").withColumns(r6("observed", "expected", "z", "p_value"))
+
+
 COUNTS_SQL = f"SELECT count(*) AS n, count(*) FILTER ({FAILED_SQL}) AS k, avg(duration_sec) AS m FROM ({EVENTS_SQL})"
 
 
@@ -368,28 +421,38 @@ def counts(spark, d):
     return events(spark, d).agg(F.count_if(eda.failed()).alias("k"), F.count("*").alias("n"), F.avg("duration_sec").alias("m"))
 
 
-@register("proportion_test", f"SELECT round(k / n, 6) AS observed, round((k / n - 0.4) / sqrt(0.4 * 0.6 / n), 6) AS z FROM ({COUNTS_SQL})")
+@register("proportion_test", judged_sql(f"SELECT 'proportion' AS metric, k / n AS observed, b AS expected, (k / n - b) / sqrt(b * (1 - b) / n) AS z FROM ({COUNTS_SQL}), (SELECT 0.391::DOUBLE AS b)", False))
 def proportion_test(spark, d):
-    return hypothesis.proportion(counts(spark, d), "k", "n", 0.4).select("observed", "z").withColumns(r6("observed", "z"))
+    return verdict(hypothesis.proportion(counts(spark, d), "k", "n", 0.391))
 
 
-@register("one_sample_z", f"SELECT round(m, 6) AS observed, round((m - 50.0) / (30.0 / sqrt(n)), 6) AS z FROM ({COUNTS_SQL})")
+@register("one_sample_z", judged_sql(f"SELECT 'metric' AS metric, m AS observed, 50.0::DOUBLE AS expected, (m - 50.0) / (30.0 / sqrt(n)) AS z FROM ({COUNTS_SQL})", True))
 def one_sample_z(spark, d):
-    return hypothesis.one_sample_z(counts(spark, d), "m", "n", 50.0, 30.0).select("observed", "z").withColumns(r6("observed", "z"))
+    return verdict(hypothesis.one_sample_z(counts(spark, d), "m", "n", 50.0, 30.0))
 
 
-@register("two_prop_test", f"SELECT round((k1 / n1 - k2 / n2) / sqrt((k1 + k2) / (n1 + n2) * (1 - (k1 + k2) / (n1 + n2)) * (1.0 / n1 + 1.0 / n2)), 6) AS z FROM (SELECT count(*) FILTER (p AND {FAILED_SQL}) AS k1, count(*) FILTER (p) AS n1, count(*) FILTER (NOT p AND {FAILED_SQL}) AS k2, count(*) FILTER (NOT p) AS n2 FROM (SELECT *, starts_with(dst_ip, '192.') AS p FROM ({EVENTS_SQL})))")
+@register("two_prop_test", judged_sql(f"""SELECT 'proportion' AS metric, k1 / n1 AS observed, k2 / n2 AS expected, (k1 / n1 - k2 / n2) / sqrt((k1 + k2) / (n1 + n2) * (1 - (k1 + k2) / (n1 + n2)) * (1.0 / n1 + 1.0 / n2)) AS z
+    FROM (SELECT count(*) FILTER (p AND {FAILED_SQL}) AS k1, count(*) FILTER (p) AS n1, count(*) FILTER (NOT p AND {FAILED_SQL}) AS k2, count(*) FILTER (NOT p) AS n2 FROM (SELECT *, starts_with(dst_ip, '192.') AS p FROM ({EVENTS_SQL})))""", True))
 def two_prop_test(spark, d):
     p = F.col("dst_ip").startswith("192.")
     agg = events(spark, d).agg(F.count_if(p & eda.failed()).alias("k1"), F.count_if(p).alias("n1"), F.count_if(~p & eda.failed()).alias("k2"), F.count_if(~p).alias("n2"))
-    return hypothesis.two_proportions(agg, "k1", "n1", "k2", "n2").select(F.round("z", 6).alias("z"))
+    return verdict(hypothesis.two_proportions(agg, "k1", "n1", "k2", "n2"))
 
 
-@register("alert_results")
+def rates_sql(failed: float, nxdomain: float) -> str:
+    return judged_sql(f"""SELECT metric, k / n AS observed, b AS expected, (k / n - b) / sqrt(b * (1 - b) / n) AS z FROM (
+        SELECT 'failed_connection_rate' AS metric, count(*) FILTER ({FAILED_SQL}) AS k, count(*) AS n, {failed}::DOUBLE AS b FROM ({CONN_SQL})
+        UNION ALL SELECT 'nxdomain_rate', count(*) FILTER (dns_rcode = 'NXDOMAIN'), count(*), {nxdomain}::DOUBLE FROM ({DNS_SQL}))""", False)
+
+
+@register("alert_results", rates_sql(0.38, 0.21))
 def alert_results(spark, d):
-    """Both rate tests with p-values and severities: the normal tail is beyond SQL."""
-    u = events(spark, d)
-    return hypothesis.Alerting().evaluate(u, u)
+    return verdict(hypothesis.Alerting(0.38, 0.21).evaluate(*two_logs(spark, d)))
+
+
+@register("alerts_alone", f"SELECT * FROM ({rates_sql(0.05, 0.5)}) WHERE reject_null")
+def alerts_alone(spark, d):
+    return verdict(hypothesis.Alerting(0.05, 0.5).alerts(*two_logs(spark, d)))
 
 
 @register("severity_of_p", "SELECT CAST(i AS BIGINT) AS i, CASE WHEN i / 1000.0 < 0.001 THEN 'CRITICAL' WHEN i / 1000.0 < 0.01 THEN 'HIGH' WHEN i / 1000.0 < 0.05 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM range(100) t(i)")
@@ -397,10 +460,10 @@ def severity_of_p(spark, d):
     return spark.range(100).select(F.col("id").alias("i"), severity(F.col("id") / 1000.0).alias("severity"))
 
 
-@register("normal_tail")
+@register("normal_tail", f"SELECT z, round(least(1.0, 2 * {TAIL_OF.format(z='abs(z)')}), 9) AS two_sided, round({TAIL_OF.format(z='z')}, 9) AS greater FROM (SELECT (i - 400) / 10.0 AS z FROM range(801) t(i))")
 def normal_tail(spark, d):
     z = (F.col("id") - 400) / 10.0
-    return spark.range(801).select(z.alias("z"), p_value(z, "two-sided").alias("two_sided"), p_value(z, "greater").alias("greater"))
+    return spark.range(801).select(z.alias("z"), F.round(p_value(z, "two-sided"), 9).alias("two_sided"), F.round(p_value(z, "greater"), 9).alias("greater"))
 
 
 @register("ecs_projection", f"""
@@ -418,16 +481,19 @@ def ecs_validation_counts(spark, d):
     return ecs.validation_counts(events(spark, d).select(F.col("dst_ip").alias("destination.ip"), (F.col("bytes_sent") * 100).alias("destination.port"), bad.alias("source.ip")))
 
 
-@register("mapping_coverage", "SELECT CAST(13 AS BIGINT) AS total, CAST(13 AS BIGINT) AS mapped, 100.0::DOUBLE AS coverage")
+@register("mapping_coverage", f"SELECT count(*) AS total, count(*) FILTER (column_name NOT IN ('note', 'extra')) AS mapped, round(100.0 * count(*) FILTER (column_name NOT IN ('note', 'extra')) / count(*), 6) AS coverage FROM (DESCRIBE SELECT *, 1 AS note, 2 AS extra FROM ({UNIFIED_SQL}))")
 def mapping_coverage(spark, d):
-    found = ecs.mapping_of(unified(spark, d).columns)
-    return spark.createDataFrame([(found.total, len(found.mapped), found.coverage)], "total long, mapped long, coverage double")
+    found = ecs.mapping_of(unified(spark, d).withColumns({"note": F.lit(1), "extra": F.lit(2)}).columns)
+    return spark.createDataFrame([(found.total, len(found.mapped), round(found.coverage, 6))], "total long, mapped long, coverage double")
 
 
-@register("svm_features", f"SELECT uid, duration_sec AS duration, CAST(bytes_sent AS DOUBLE) AS bytes_sent, CAST(coalesce(bytes_recv, 0) AS DOUBLE) AS bytes_recv, round(CASE WHEN bytes_recv > 0 THEN bytes_sent / bytes_recv ELSE 0 END, 6) AS bytes_ratio, CAST({FAILED_SQL} AS INTEGER) AS failed, CAST(dns_rcode = 'NXDOMAIN' AS INTEGER) AS nxdomain, CAST({FAILED_SQL} OR dns_rcode = 'NXDOMAIN' AS INTEGER) AS label FROM ({EVENTS_SQL})")
+@register("svm_features", f"""
+    SELECT uid, duration_sec AS duration, CAST(bytes_sent AS DOUBLE) AS bytes_sent, CAST(coalesce(bytes_recv, 0) AS DOUBLE) AS bytes_recv, round(CASE WHEN bytes_recv > 0 THEN bytes_sent / bytes_recv ELSE 0 END, 6) AS bytes_ratio,
+           CAST({FAILED_SQL} AS INTEGER) AS failed, CAST(t AS INTEGER) AS ti_match, CAST(coalesce(nx, false) AS INTEGER) AS nxdomain, CAST({FAILED_SQL} OR t OR coalesce(nx, false) AS INTEGER) AS label
+    FROM (SELECT *, dst_ip IN {IPS_SQL} AS t FROM ({CONN_SQL})) LEFT JOIN (SELECT uid, bool_or(dns_rcode = 'NXDOMAIN') AS nx FROM ({DNS_SQL}) GROUP BY 1) USING (uid)""")
 def svm_features(spark, d):
-    u = events(spark, d)
-    return ml.features(u, u).drop("ti_match").withColumns(r6("bytes_ratio"))
+    conn, dns = two_logs(spark, d)
+    return ml.features(enrich.threat_match(conn, feeds(spark), domain_column=None), dns).withColumns(r6("bytes_ratio"))
 
 
 @register("svm_evaluation")
@@ -515,9 +581,13 @@ def cusum_after_baseline(spark, d):
     return cusum.detect_changes(hourly(spark, d), "bucket", "x", 0.5, 2.0).select("index", F.round("upper", 6).alias("upper"), F.round("lower", 6).alias("lower"), "change")
 
 
-@register("ip_validation", f"SELECT uid, true AS valid, NOT starts_with(dst_ip, '192.168.') AS public FROM ({EVENTS_SQL})")
+IP_CASES = [("8.8.8.8", True, True), ("10.0.0.1", True, False), ("1.2.3", False, False), ("1.2.3.400", False, False), ("2a00:1450::1", True, True), ("fe80::1", True, False), ("2001:db8::1", True, False), ("::ffff:8.8.8.8", True, True), ("::ffff:10.1.1.1", True, False), ("1::2::3", False, False), ("", False, False), (None, False, False)]
+
+
+@register("ip_validation", f"SELECT uid, c.valid AS valid, c.public AS public FROM ({EVENTS_SQL}) JOIN (VALUES " + ", ".join(f"({k}, {str(v).lower()}, {str(p).lower()})" for k, (_, v, p) in enumerate(IP_CASES)) + f") c(k, valid, public) ON CAST(uid AS BIGINT) % {len(IP_CASES)} = c.k")
 def ip_validation(spark, d):
-    return events(spark, d).select("uid", is_ip(F.col("dst_ip")).alias("valid"), is_public(F.col("dst_ip")).alias("public"))
+    ip = F.get(F.array(*[F.lit(x) for x, _, _ in IP_CASES]), (F.col("uid").cast("long") % len(IP_CASES)).cast("int"))
+    return events(spark, d).select("uid", F.coalesce(is_ip(ip), F.lit(False)).alias("valid"), F.coalesce(is_public(ip), F.lit(False)).alias("public"))
 
 
 @register("failed_by_port", f"SELECT dst_port, count(*) AS failed FROM ({EVENTS_SQL}) WHERE {FAILED_SQL} AND NOT starts_with(dst_ip, '192.168.') GROUP BY 1")

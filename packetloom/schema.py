@@ -33,6 +33,7 @@ UNIFIED = fields("""
 LOGS = {"conn": CONN, "dns": DNS}
 TIMESTAMPS = ("ts", "start_time", "end_time")
 
+# Field names of the two logs and of the common schemas, from each to the next.
 _ENDPOINTS = {"ts": "timestamp", "uid": "uid", "id.orig_h": "src_ip", "id.orig_p": "src_port", "id.resp_h": "dst_ip", "id.resp_p": "dst_port", "proto": "protocol"}
 CONN_FIELDS = _ENDPOINTS | {
     "service": "service", "duration": "duration_sec", "orig_bytes": "bytes_sent", "resp_bytes": "bytes_recv", "orig_pkts": "packets_sent",
@@ -47,8 +48,6 @@ RAW_TO_ECS = {
     "orig_bytes": "source.bytes", "resp_bytes": "destination.bytes", "orig_pkts": "source.packets", "resp_pkts": "destination.packets",
     "conn_state": "zeek.connection.state", "history": "zeek.connection.history", "missed_bytes": "zeek.connection.missed_bytes",
     "query": "dns.question.name", "qtype_name": "dns.question.type", "rcode_name": "dns.response_code", "answers": "dns.answers.name",
-    "method": "http.request.method", "host": "url.domain", "uri": "url.path", "status_code": "http.response.status_code",
-    "user_agent": "user_agent.original", "server_name": "tls.client.server_name", "version": "tls.version", "cipher": "tls.cipher",
 }
 UNIFIED_TO_ECS = {
     "src_ip": "source.ip", "dst_ip": "destination.ip", "src_port": "source.port", "dst_port": "destination.port",

@@ -136,6 +136,36 @@ def generated(spark: SparkSession, n: int, mean: float, std: float, change_at: i
     return spark.range(n).select(F.col("id").alias("i"), (F.randn(seed) * std + mean + moved).alias("value"))
 
 
+def generated_scores(spark: SparkSession, n: int, positive_share: float = 0.05, positive: tuple[int, int] = (5, 2), negative: tuple[int, int] = (2, 5), seed: int = 42) -> DataFrame:
+    """(i, label, score): seeded beta draws of whole-number shapes, the first positive_share of the rows positive, for demonstrations.
+
+    A beta draw is the share of one gamma draw in two, and a gamma draw of whole shape a sum of exponential ones, so all is native.
+    """
+    if min(*positive, *negative) < 1 or not 0 <= positive_share <= 1:
+        raise ValueError("shapes must be whole numbers from 1, the share between 0 and 1")
+    draw = lambda k: -F.log(F.lit(1.0) - F.rand(seed + k))
+    beta = lambda shape, k: sum((draw(k + j) for j in range(shape[0])), F.lit(0.0)) / sum((draw(k + j) for j in range(sum(shape))), F.lit(0.0))
+    label = (F.col("id") < round(n * positive_share)).cast("int")
+    drawn = spark.range(n).select(F.col("id").alias("i"), label.alias("label"), beta(positive, 0).alias("p"), beta(negative, 1000).alias("q"))
+    return drawn.select("i", "label", F.when(F.col("label") == 1, F.col("p")).otherwise(F.col("q")).alias("score"))
+
+
+def read_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """(start_ip, end_ip or network, country, asn, org) of a range file for geographic look-ups: Parquet, or CSV with a header.
+
+    A file names its ranges by start_ip and end_ip or by network (1.2.3.0/24, 2001:db8::/32); other columns it lacks are null, more are
+    dropped. A missing file is an error.
+    """
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    df = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.option("header", True).csv(path)
+    ends = ["network"] if "network" in df.columns else ["start_ip", "end_ip"]
+    if not set(ends) <= set(df.columns):
+        raise ValueError(f"{path}: needs start_ip and end_ip, or network")
+    more = {"country": "string", "asn": "long", "org": "string"}
+    return df.select(*ends, *[(F.col(c) if c in df.columns else F.lit(None)).try_cast(t).alias(c) for c, t in more.items()])
+
+
 def union_all(frames: Iterable[DataFrame]) -> DataFrame:
     frames = list(frames)
     if not frames:

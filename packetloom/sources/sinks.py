@@ -3,12 +3,23 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share, under spark.checkpoint.dir; where that is unset, a temporary one on a local master only."""
+    if not (base := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}"
+    return f"{base}/{uuid.uuid4().hex}"
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Parquet, partitioned on request (by log_type and a date for pruning)."""
     writer = df.write.mode("overwrite")
@@ -28,10 +39,10 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(out)
 
 
-def write_csv(df: DataFrame, path: str, single: bool = True) -> None:
+def write_csv(df: DataFrame, path: str, single: bool = True, escape: str = "\\") -> None:
     """CSV with a header; single asks for one part (for report-sized results)."""
     rows = flat(df)
-    (rows.coalesce(1) if single else rows).write.mode("overwrite").option("header", True).csv(path)
+    (rows.coalesce(1) if single else rows).write.mode("overwrite").option("header", True).option("escape", escape).csv(path)
 
 
 def write_text(spark: SparkSession, text: str, path: str) -> None:

@@ -304,3 +304,78 @@ def test_spike_run(spark, folder):
     assert summary["total_buckets"] == 10 and marked.agg(F.sum("connections")).first()[0] == 9
     with pytest.raises(FileNotFoundError):
         logs.first_existing(spark, [f"{folder}/none"])
+
+
+def test_nested_and_wide_ranges(spark):
+    rows = [("2a00:1450::", "2a00:1450::fff:ffff", "AA"), ("2a00:1450::10", "2a00:1450::1f", "BB"), ("2a00::", "2aff:ffff:ffff:ffff:ffff:ffff:ffff:ffff", "WW"), ("2a00:1450:0:0:ffff:ffff:ffff:ffff", "2a00:1450:0:1::", "EE"), ("1.0.0.0", "200.255.255.255", "VV"), ("8.8.7.250", "8.8.8.8", "CC"), ("8.8.8.0", "8.8.8.255", "DD"), ("9.9.9.9", "9.9.9.9", "SS"), ("bad", "9.9.9.9", "XX")]
+    ranges = spark.createDataFrame([(*r, 1, "o") for r in rows], "start_ip string, end_ip string, country string, asn long, org string")
+    want = {"2a00:1450::12": "BB", "2a00:1450::20": "AA", "2a00:1450:1::": "WW", "2a00:1450:0:0:ffff:ffff:ffff:ffff": "EE", "2a00:1450:0:1::": "EE", "2a00:1450:0:1::1": "WW", "2b00::1": None, "8.8.7.255": "CC", "8.8.8.8": "CC", "8.8.8.9": "DD", "9.9.9.9": "SS", "9.9.9.8": "VV", "201.0.0.0": None, "10.1.1.1": None, "x": None}
+    values = spark.createDataFrame([(v,) for v in want], "v string")
+    got = {r.v: r.country for r in enrich.lookup(values, ranges).collect()}
+    assert {v: got.get(v) for v in want} == want
+    assert enrich.range_table(ranges).groupBy("start", "end").count().agg({"count": "max"}).first()[0] <= 256
+
+
+def test_networks_as_ranges(spark, tmp_path):
+    from packetloom.sources import logs
+
+    path = tmp_path / "ranges.csv"
+    path.write_text("network,country,asn\n8.8.8.0/23,US,15169\n8.8.9.128/25,DE,\n2001:4860::/33,FR,1\n0.0.0.0/0,WW,2\n1.2.3.4/40,XX,3\n,YY,4\n")
+    ranges = logs.read_ranges(spark, f"file://{path}")
+    values = spark.createDataFrame([("8.8.9.1",), ("8.8.9.200",), ("8.8.10.0",), ("2001:4860:7fff::1",), ("2001:4860:8000::1",)], "v string")
+    got = {r.v: (r.country, r.asn) for r in enrich.lookup(values, ranges).collect()}
+    assert got == {"8.8.9.1": ("US", 15169), "8.8.9.200": ("DE", None), "8.8.10.0": ("WW", 2), "2001:4860:7fff::1": ("FR", 1)}
+    with pytest.raises(FileNotFoundError):
+        logs.read_ranges(spark, f"file://{tmp_path}/none.csv")
+
+
+def test_beta_draws(spark):
+    from packetloom.sources import logs
+
+    got = logs.generated_scores(spark, 4000, 0.25).groupBy("label").agg({"score": "avg", "i": "count"}).orderBy("label").collect()
+    assert [r["count(i)"] for r in got] == [3000, 1000]
+    assert abs(got[0]["avg(score)"] - 2 / 7) < 0.02 and abs(got[1]["avg(score)"] - 5 / 7) < 0.02
+
+
+def test_text_reports(spark):
+    from packetloom.operators import baseline, cusum, hypothesis, reports, timeseries
+
+    rows = [(k, float(10 + k % 3 + (50 if k > 30 else 0))) for k in range(40)]
+    df = spark.createDataFrame(rows, "bucket long, x double")
+    model = cusum.fit(df.where("bucket < 20"), "x")
+    detected = cusum.detect(df, model, "bucket", "x")
+    text = reports.cusum_report(model, detected)
+    assert f"{detected.where('change').count()} changes in 40 values" in text and "increase" in text
+    fitted = baseline.BaselineModel(baseline.fit(df.selectExpr("bucket", "'m' as metric", "x as value")))
+    assert "windows: 40" in reports.baseline_report(fitted)
+    series = timeseries.rolling(df.withColumnRenamed("x", "failed_rate"), ["failed_rate"], 10)
+    assert "40 buckets from 0 to 39" in reports.series_report(series) and "failed_rate beyond 2.0" in reports.series_report(series)
+    counts = spark.createDataFrame([(60, 100)], "k long, n long")
+    text = reports.hypothesis_report(hypothesis.proportion(counts, "k", "n", 0.1, metric="failed"))
+    assert "ALERT [CRITICAL] failed" in text and "failed: investigate now" in text
+    scored = spark.createDataFrame([(int(k % 4 == 0), 0.9 if k % 4 == 0 else 0.1) for k in range(100)], "label int, score double")
+    text = reports.calibration_report(scored, 1000)
+    assert "100 rows, 25 positive" in text and "area under the curve 1.0000" in text and "250 alerts, 250 of them true" in text
+
+
+def test_coercion_warnings_are_bounded(spark):
+    from packetloom.operators import ecs
+
+    df = spark.createDataFrame([("x", "1"), (None, "y")], "`source.bytes` string, `source.port` string")
+    assert ecs.coercion_warnings(df) == ["source.bytes: 1 of its string values do not fit long and become null", "source.port: 1 of its string values do not fit port and become null"]
+    assert len(ecs.coercion_warnings(df, most=1)) == 1 and ecs.coercion_warnings(df.select("`source.bytes`").where("false")) == []
+
+
+def test_summary_lists_are_whole(spark):
+    from packetloom.operators import reports
+
+    events = spark.createDataFrame([("conn", str(k), f"10.0.{k // 200}.{k % 200}", "8.8.8.8", 80, "tcp", "S0", None, None, False) for k in range(150)], "log_type string, uid string, src_ip string, dst_ip string, dst_port long, protocol string, conn_state string, dns_query string, dns_rcode string, ti_match boolean").withColumn("timestamp", F.current_timestamp())
+    assert len(reports.findings(events)["failed_sources"]) == 150 and len(reports.findings(events, 10)["failed_sources"]) == 10
+
+
+def test_grid_search_side_by_side(spark):
+    from packetloom.operators import ml
+
+    rows = spark.createDataFrame([(str(k), float(k % 2 * 10 + k % 3), 1.0, 1.0, 0.0, 0, 0, 0, k % 2) for k in range(120)], "uid string, duration double, bytes_sent double, bytes_recv double, bytes_ratio double, failed int, ti_match int, nxdomain int, label int")
+    found = ml.grid_search(rows, {"C": (0.1, 1.0), "kernel": ("linear",), "max_iter": (5,)}, folds=2)
+    assert len(found["results"]) == 2 and found["best_f1"] > 0.95
