@@ -145,19 +145,17 @@ def split(grid: DataFrame, level: int) -> DataFrame:
     return grid.select("fp", F.explode(parts).alias("k")).select("k.pair", "k.cell", "fp")
 
 
-def classes(prints: DataFrame, radius: int = 2, cell_limit: int = 4096) -> DataFrame:
-    """(fp, root, component_id) for each distinct fingerprint of prints (doc_id, fp).
+def links(nodes: DataFrame, radius: int = 2, cell_limit: int = 4096) -> DataFrame:
+    """(u, v), written: verified links of distinct fingerprints (fp), as stars of each cell's local components.
 
-    Copies collapse to one node before any join. Cells with over cell_limit distinct fingerprints are cut into finer ones, at most
-    twice; all are verified pair by pair in bounded memory. The grid's blocks are made for two differing bits, so radius is 2 at most.
+    Cells with over cell_limit fingerprints are cut into finer ones, at most twice; all are verified pair by pair in bounded memory. The
+    grid's blocks are made for two differing bits, so radius is 2 at most.
     """
     if radius > 2:
         raise ValueError("the grid's blocks are made for two differing bits")
-    spark = prints.sparkSession
-    nodes = common.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    grid, links, written = cells(nodes), None, []
+    grid, found, written = cells(nodes), None, []
     for level in range(len(LEVELS)):
-        usual = grid
+        usual, heavy = grid, None
         if level + 1 < len(LEVELS):
             heavy = common.cut(grid.groupBy("pair", "cell").count().where(F.col("count") > cell_limit).select("pair", "cell"))
             written.append(heavy)
@@ -165,15 +163,22 @@ def classes(prints: DataFrame, radius: int = 2, cell_limit: int = 4096) -> DataF
                 heavy = None
             else:
                 usual = grid.join(heavy, ["pair", "cell"], "left_anti")
-        else:
-            heavy = None
-        found = cell_links(usual, radius)
-        links = found if links is None else links.unionByName(found)
+        part = cell_links(usual, radius)
+        found = part if found is None else found.unionByName(part)
         if heavy is None:
             break
         grid = split(grid.join(heavy, ["pair", "cell"], "left_semi"), level + 1)
-    roots = common.components(links).withColumnRenamed("u", "fp")
-    common.forget(spark, *written)
+    out = common.cut(found.distinct())
+    common.forget(nodes.sparkSession, *written)
+    return out
+
+
+def classes(prints: DataFrame, radius: int = 2, cell_limit: int = 4096) -> DataFrame:
+    """(fp, root, component_id) for each distinct fingerprint of prints (doc_id, fp). Copies collapse to one node before any join."""
+    nodes = common.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    found = links(nodes.select("fp"), radius, cell_limit)
+    roots = common.components(found).withColumnRenamed("u", "fp")
+    common.forget(prints.sparkSession, found)
     rooted = nodes.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     return rooted.join(least, "root").select("fp", "root", "component_id")
