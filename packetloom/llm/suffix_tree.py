@@ -3,7 +3,7 @@
 A text is its lower-cased words, one space apart, between two line feeds. Counts of all windows of depth + 1 bytes of the training texts
 give, summed over ever shorter windows, the next-byte counts of every context. A context is kept if it is frequent enough and its
 next-byte distribution diverges from its suffix's (count times KL divergence, in bits, over a threshold); distributions are smoothed
-towards the suffix's (Witten-Bell). Scoring walks the automaton of the longest kept suffix, one table look-up a byte.
+towards the suffix's (Witten-Bell). Scoring walks the automaton of the longest kept suffix, two table look-ups a byte.
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,7 +141,12 @@ def contexts(grams: DataFrame, depth: int, least_count: int, least_gain: float)
 
 @dataclass
 class Tree:
-    """The automaton: after byte c in state s, the state is step[s, code[c]] and the byte's log10 probability was logp[s, code[c]]."""
+    """The automaton of the longest kept suffix, in two compact tables.
+
+    A state is a pair of rows, kept in one number: its transitions (states that no longer state extends share their suffix's row) and its
+    distribution (states that are no kept context share that of their longest kept suffix). After byte c in state (t, d), the byte's log10
+    probability was logp[d, code[c]] and the next state is step[t, code[c]].
+    """
 
     code: np.ndarray
     step: np.ndarray
@@ -161,36 +166,50 @@ class Tree:
         code[seen] = np.arange(len(seen))
         width, column = len(seen) + 1, code[symbol]
         states = {h[a:b] for h in names for a in range(len(h) + 1) for b in range(a, len(h) + 1)} | {b""}
-        listed = sorted(states, key=lambda h: (len(h), h))
-        del states
-        at = {h: k for k, h in enumerate(listed)}
-        step, logp = np.zeros((len(listed), width), np.int32), np.zeros((len(listed), width), np.float32)
-        # The root has one count for each of 256 bytes; those never seen share the last column. A state's own row comes after its suffix's.
-        p = np.zeros((len(listed), width), np.float32)
-        for _, level in groupby(listed, key=len):
-            level = list(level)
-            for h in filter(None, level):  # steps down to this level, before the level copies its suffixes' rows
-                step[at[h[:-1]], code[h[-1]]] = at[h]
-            for h in level:
-                k = at[h]
-                if k:
-                    up = at[h[1:]]
-                    step[k], p[k] = step[up], p[up]
-                if h in rows:
-                    a, b = rows[h]
-                    counts = np.zeros(width)
-                    counts[column[a:b]] = n[a:b]
-                    p[k] = (counts + (b - a) * p[k]) / (counts.sum() + b - a) if k else (counts + 1) / (counts.sum() + 256)
-                elif not k:
-                    p[k] = 1 / 256
-        np.log10(p, out=logp)
-        return cls(code, step, logp, depth)
-
-    def scores(self, lines: list[bytes], chunk: int = 256) -> np.ndarray:
-        """log10 probability of each line. Lines go in chunks, side by side; each chunk starts depth bytes early to find its state."""
+        longer = {h[:-1] for h in states if h} | {b""}
+        # Every state's pair of rows, shorter states first: a state's suffix is a state.
+        place: dict[bytes, int] = {}
+        own, moves = [b""], [b""]
+        for h in sorted(states, key=lambda h: (len(h), h)):
+            up = place[h[1:]] if h else 0
+            t, d = up >> 32, up & 0xFFFFFFFF
+            if h and h in longer:
+                t = len(moves)
+                moves.append(h)
+            if h and h in rows:
+                d = len(own)
+                own.append(h)
+            place[h] = t << 32 | d
+        step, p = np.zeros((len(moves), width), np.int64), np.zeros((len(own), width), np.float32)
+        children: dict[bytes, list[bytes]] = {}
+        for h in states:
+            if h:
+                children.setdefault(h[:-1], []).append(h)
+        for k, h in enumerate(moves):  # a row is its suffix's but for the states that extend it
+            if h:
+                step[k] = step[place[h[1:]] >> 32]
+            for x in children.get(h, ()):
+                step[k, code[x[-1]]] = place[x]
+        for k, h in enumerate(own):
+            if h in rows:
+                a, b = rows[h]
+                counts = np.zeros(width)
+                counts[column[a:b]] = n[a:b]
+                # The root has one count for each of 256 bytes; those never seen share the last column.
+                p[k] = (counts + (b - a) * p[place[h[1:]] & 0xFFFFFFFF]) / (counts.sum() + b - a) if k else (counts + 1) / (counts.sum() + 256)
+            else:
+                p[k] = 1 / 256
+        np.log10(p, out=p)
+        return cls(code, step, p, depth)
+
+    def scores(self, lines: list[bytes], counted: np.ndarray | None = None, chunk: int = 256) -> np.ndarray:
+        """log10 probability of each line; with `counted` (a flag for each byte), of the bytes that follow such a byte alone.
+
+        Lines go in chunks, side by side; each chunk starts depth bytes early to find its state.
+        """
         lead = bytes(self.depth - 1) + b"\n"
-        data = np.frombuffer(b"".join([lead + x for x in lines]), np.uint8)
-        data = self.code[data].astype(np.int32)
+        raw = np.frombuffer(b"".join([lead + x for x in lines]), np.uint8)
+        data = self.code[raw].astype(np.int32)
         sizes = np.fromiter(map(len, lines), np.int64, len(lines))
         starts = np.cumsum(sizes + self.depth) - sizes - self.depth
         n = -(-sizes // chunk)
@@ -202,30 +221,53 @@ class Tree:
         owner, begin, left = owner[order], begin[order], left[order]
         width = self.step.shape[1]
         step, logp = self.step.ravel(), self.logp.ravel()
-        state, total = np.zeros(len(owner), np.int32), np.zeros(len(owner))
+        state, total = np.zeros(len(owner), np.int64), np.zeros(len(owner))
         live = len(owner)
         for t in range(chunk + self.depth):
             if t >= self.depth:
                 live = int(np.searchsorted(-left, -(t - self.depth), "left"))  # chunks are in falling order of length
                 if not live:
                     break
-            where = state[:live] * width + data[begin[:live] + t]
+            now, at = state[:live], begin[:live] + t
+            c = data[at]
             if t >= self.depth:
-                total[:live] += logp[where]
-            state[:live] = step[where]
+                got = logp[(now & 0xFFFFFFFF) * width + c]
+                total[:live] += got if counted is None else got * counted[raw[at - 1]]
+            state[:live] = step[(now >> 32) * width + c]
         out = np.zeros(len(lines))
         np.add.at(out, owner, total)
         return out
 
 
+def parts_of(found: DataFrame, table_bytes: int) -> list[list[int]]:
+    """The last bytes of kept contexts in groups whose automata take about table_bytes each, a group one byte at least.
+
+    A byte's probability depends on contexts that end in the byte before it alone, so each group can be scored by itself.
+    """
+    last = F.expr("cast(context & 255 as int)")
+    sizes = found.where("size > 0").groupBy("size", "context").count().groupBy(last.alias("last")).agg(F.count("*").alias("n")).collect()  # 256 rows at most
+    width = found.select("symbol").distinct().count() + 1
+    out, held = [[]], 0
+    for r in sorted(sizes, key=lambda r: r["last"]):
+        cost = r.n * width * 8  # a row of each table, as many states have transitions of their own or a distribution, few have both
+        if out[-1] and held + cost > table_bytes:
+            out.append([])
+            held = 0
+        out[-1].append(r["last"])
+        held += cost
+    return out
+
+
 def score(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, least_count: int = 32, least_gain: float = 16.0, token_share: float = 1e-6,
+    table_bytes: int = 192 << 20,
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per input row.
 
     Rows with crc32(doc_id as text) mod 7 = 2 are never learned from. Tokens are A-Z-lower-cased words and one end. The suffix tree
     grows with the corpus: contexts seen least_count times take part. For the base score, counts of tokens with token_share of all (so 1 / token_share at most) are
-    broadcast and those of the others joined. depth is 1 to 7.
+    broadcast and those of the others joined. depth is 1 to 7. An automaton beyond table_bytes is built, sent and used in parts, by the
+    last byte of its contexts, one pass of the texts for each, so neither the driver nor a worker holds more as the corpus grows.
 
     Null and empty texts are the end alone. A null id is a training row. Repeated rows count and return each. With no training row the
     base score is 0 for each token and the tree is uniform. An empty table returns no row. Extra columns are ignored.
@@ -237,20 +279,29 @@ def score(
     size, total = tokens.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     often = tokens.where(F.col("c") >= F.lit(token_share * total)).toArrow()
     often = dict(zip(common.blobs(often.column(0)), np.log10(often.column(1).to_numpy() + 1.0).tolist(), strict=True))
-    found = contexts(counted.where("gram is not null").select("gram", "n"), depth, least_count, least_gain)
-    arrays = found.toArrow()
-    tree = Tree.build(*[arrays.column(k).to_numpy() for k in range(4)], depth)
-    del arrays
-    sent = spark.sparkContext.broadcast((often, tree.code, tree.step, tree.logp))
-    del often, tree
+    found = common.cut(contexts(counted.where("gram is not null").select("gram", "n"), depth, least_count, least_gain))
+    parts = parts_of(found, table_bytes)
+    known_last = np.zeros(256, bool)
+    known_last[[c for part in parts for c in part]] = True
+
+    def send(k: int, more: object) -> Broadcast:
+        arrays = (found.where((F.col("size") == 0) | F.expr("cast(context & 255 as int)").isin(parts[k])) if len(parts) > 1 else found).toArrow()
+        tree = Tree.build(*[arrays.column(c).to_numpy() for c in range(4)], depth)
+        counted = None
+        if len(parts) > 1:  # the first part takes the bytes that end no context as well
+            counted = np.isin(np.arange(256), parts[k]) | (~known_last if k == 0 else False)
+        return spark.sparkContext.broadcast((more, tree.code, tree.step, tree.logp, counted))
+
+    sent = send(0, often)
+    del often
     rare = pa.list_(pa.struct([("token", pa.string()), ("tf", pa.int64())]))
     cached: list = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not cached:
-            often, code, step, logp = sent.value
-            cached.extend([often, Tree(code, step, logp, depth)])
-        known, tree = cached
+            often, code, step, logp, counted = sent.value
+            cached.extend([often, Tree(code, step, logp, depth), counted])
+        known, tree, follows = cached
         for whole in batches:
             for a in range(0, whole.num_rows, 500):
                 batch = whole.slice(a, 500)
@@ -271,11 +322,14 @@ def score(
                 print_of = [xxhash.xxh64_intdigest(x) - (1 << 63) for x in blobs]
                 yield common.batch_of(
                     doc_id=(batch.column(0), pa.int64()), print=(print_of, pa.int64()), held_out=([held_out(i) for i in ids], pa.bool_()), n_tokens=(n, pa.int64()),
-                    hits=(hits, pa.int64()), part=(part, pa.float64()), score=(pa.array(tree.scores(lines)), pa.float64()), others=(others, rare),
+                    hits=(hits, pa.int64()), part=(part, pa.float64()), score=(pa.array(tree.scores(lines, follows)), pa.float64()), others=(others, rare),
                 )
 
     schema = "doc_id long, print long, held_out boolean, n_tokens long, hits long, part double, score double, others array<struct<token: string, tf: long>>"
     scored = common.cut(rows.mapInArrow(run, schema))
+    sent.destroy()
+    for k in range(1, len(parts)):
+        scored = added(scored, rows, send(k, None), depth)
     single = scored.select("doc_id", "print", F.explode("others").alias("o")).select("doc_id", "print", "o.token", "o.tf")
     uncommon = tokens.where(F.col("c") < F.lit(token_share * total))
     met = single.join(uncommon, "token").groupBy("doc_id", "print").agg(F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("more"), F.sum("tf").alias("known"))
@@ -292,5 +346,28 @@ def score(
     )
 
 
+def added(scored: DataFrame, rows: DataFrame, sent: Broadcast, depth: int) -> DataFrame:
+    """scored with another part's scores added, written. Rows of equal id and text have one score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, code, step, logp, counted = sent.value
+        tree = Tree(code, step, logp, depth)
+        for whole in batches:
+            for a in range(0, whole.num_rows, 500):
+                batch = whole.slice(a, 500)
+                blobs = common.blobs(batch.column(1))
+                yield common.batch_of(
+                    i=(batch.column(0), pa.int64()), k=([xxhash.xxh64_intdigest(x) - (1 << 63) for x in blobs], pa.int64()),
+                    more=(pa.array(tree.scores([line_of(x) for x in blobs], counted)), pa.float64()),
+                )
+
+    part = rows.mapInArrow(run, "i long, k long, more double").groupBy("i", "k").agg(F.first("more").alias("more"))
+    joined = scored.join(part, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("print") == F.col("k")))
+    out = common.cut(joined.withColumn("score", F.col("score") + F.col("more")).select(scored.columns))
+    sent.destroy()
+    common.forget(scored.sparkSession, scored)
+    return out
+
+
 def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(common.documents(spark, sf_dir))

@@ -55,7 +55,7 @@ def test_tree_against_brute_force():
         return (g[h][c] + len(g[h]) * p(h[1:], c)) / (sum(g[h].values()) + len(g[h])) if h in kept else p(h[1:], c)
 
     for chunk in (1, 7, 256):
-        got = tree.scores(lines, chunk)
+        got = tree.scores(lines, chunk=chunk)
         for line, score in zip(lines, got, strict=True):
             t = bytes(depth - 1) + b"\n" + line
             assert math.isclose(score, sum(math.log10(p(t[k - depth : k], t[k])) for k in range(depth, len(t))), abs_tol=1e-3)
@@ -91,6 +91,17 @@ def test_contexts_do_not_vanish_as_the_corpus_grows(spark):
         assert (1, rare[1]) in kept
 
 
+def test_parts_of_the_automaton_add_up(docs, odd_docs):
+    for df in (docs, odd_docs):
+        whole, split = (suffix_tree.score(df, table_bytes=b) for b in (1 << 30, 20_000))
+        key = lambda r: (repr(r.doc_id), r.n_tokens, round(r.base_score, 6))
+        a, b = (sorted(x.collect(), key=lambda r: (key(r), r.score)) for x in (whole, split))
+        assert [key(r) for r in a] == [key(r) for r in b]
+        assert all(math.isclose(x.score, y.score, rel_tol=1e-5, abs_tol=1e-4) for x, y in zip(a, b, strict=True))
+    found = docs.sparkSession.createDataFrame([(1, k, 3, 40) for k in range(50)] + [(0, 0, 3, 99)], "size int, context long, symbol long, n long")
+    assert len(suffix_tree.parts_of(found, 100)) > 3 and sum(suffix_tree.parts_of(found, 100), []) == list(range(50)) and len(suffix_tree.parts_of(found, 1 << 30)) == 1
+
+
 def test_score_empty(no_docs):
     assert suffix_tree.score(no_docs).count() == 0
 
