@@ -35,8 +35,9 @@ ORACLE: dict[str, str] = {
     """,
     "op10_sharding": f"""
         WITH {CRC_SQL},
-        b AS (SELECT doc_id, coalesce('=' || source, '') AS source, CAST(octet_length(encode(coalesce(text, ''))) + 8 AS BIGINT) AS size, hex(encode(coalesce(text, ''))) AS h, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
-        c AS (SELECT doc_id, source, size, key, xor(list_reduce(list_prepend(4294967295, [CAST('0x' || substr(h, 2 * p + 1, 2) AS BIGINT) FOR p IN range(0, len(h) // 2)]), lambda a, y: xor(a >> 8, t[(xor(a, y) & 255) + 1])), 4294967295) AS text_crc32 FROM b, crc_table),
+        b AS (SELECT doc_id, coalesce('=' || source, '') AS source, CAST(octet_length(encode(coalesce(text, ''))) + 8 AS BIGINT) AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        t AS (SELECT doc_id, source, size, xor(list_reduce(list_prepend(4294967295, [CAST('0x' || substr(h, 2 * p + 1, 2) AS BIGINT) FOR p IN range(0, len(h) // 2)]), lambda a, y: xor(a >> 8, t[(xor(a, y) & 255) + 1])), 4294967295) AS text_crc32 FROM b, crc_table),
+        c AS (SELECT *, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(CAST(text_crc32 AS BIGINT) AS VARCHAR)) AS key FROM t),
         r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY key, doc_id) AS rank, count(*) OVER (PARTITION BY source) AS n FROM c),
         a AS (SELECT *, row_number() OVER (ORDER BY (rank - 0.5::DOUBLE) / n, source, rank) - 1 AS p, count(*) OVER () AS total FROM r)
         SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(p * 24 // total AS INTEGER) AS shard,

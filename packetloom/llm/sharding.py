@@ -7,31 +7,33 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Slices of the shuffle key within a source, and of the fractional rank: window groups hold that share of a source's (all) rows at most.
-SLICES = 1024
+#: Rows that a slice of the shuffle key within a source, or of the fractional rank, should hold; there are at least and at most so many.
+SLICE_ROWS, LEAST_SLICES, MOST_SLICES = 50_000, 1024, 65_536
 
 
-def interleave(docs: DataFrame, shards: int = 24, seed: str = "0", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def interleave(docs: DataFrame, shards: int = 24, seed: str = "0", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slices: int | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, source, rank, share, law, shard, slot, grown_shard), one row per input row; law "rows".
 
-    Rows of a source are shuffled by md5(seed:doc_id) and ranked 1..n; share = (rank - 0.5) / n. All rows sorted by (share, source) are
+    Rows of a source are shuffled by md5(seed:doc_id:text_crc32) and ranked 1..n; share = (rank - 0.5) / n. All rows sorted by (share, source) are
     cut into shards whose counts differ by one at most, so every shard holds each source in its proportion. Ranks are exact and
     distributed: a source is sliced by key range, slices are counted (partial aggregation), and a slice's offset is added to the row
-    number within it; the same again for the global position over slices of the share, which are even by construction. A hot source is
-    spread over its slices. Text never leaves the scan.
+    number within it; the same again for the global position over slices of the share, which are even by construction. The number of
+    slices follows the row count (SLICE_ROWS each), and the text's CRC spreads rows of one id, or of none, as well. A hot source is spread
+    over its slices. Text never leaves the scan.
 
-    Null text: size 8, CRC of no bytes. Null source: a stratum of its own, before all others. Null ids share one key. Repeated rows are
-    rows like any other. An empty table returns no row. grown_shard is null, as the law is not "key".
+    Null text: size 8, CRC of no bytes. Null source: a stratum of its own, before all others. A null id is an empty one. Ties in the key
+    go by id, CRC and size; rows that agree in these are interchangeable. Very long texts are read by their length and CRC alone. An empty table returns no row. grown_shard is null, as the law is not "key".
     """
     spark = docs.sparkSession
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    slices = slices or min(MOST_SLICES, max(LEAST_SLICES, docs.count() // SLICE_ROWS))
+    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     base = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.when(F.col(source_col).isNull(), "").otherwise(F.concat(F.lit("="), F.col(source_col).cast("string"))).alias("stratum"),
         (F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 8).alias("size"),
-        F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
-        key.alias("key"),
-    ).withColumn("slice", F.expr(f"cast(conv(substr(key, 1, 4), 16, 10) as int) div {65536 // SLICES}"))
+        crc.alias("text_crc32"),
+    ).withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_crc32")))
+    base = base.withColumn("slice", F.expr(f"cast(conv(substr(key, 1, 4), 16, 10) as int) * {slices} div 65536"))
     ahead = Window.partitionBy("stratum").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = base.groupBy("stratum", "slice").agg(F.count("*").alias("n")).select(
         "stratum", "slice", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("stratum")).alias("total")
@@ -39,8 +41,8 @@ def interleave(docs: DataFrame, shards: int = 24, seed: str = "0", id_col: str =
     within = Window.partitionBy("stratum", "slice").orderBy("key", "doc_id", "text_crc32", "size")
     ranked = base.withColumn("rank", F.row_number().over(within)).join(offsets, ["stratum", "slice"])
     ranked = ranked.withColumn("rank", F.col("before") + F.col("rank")).withColumn("share", (F.col("rank") - 0.5) / F.col("total"))
-    ranked = common.cut(ranked.select("doc_id", "stratum", "size", "text_crc32", "rank", "share", F.least(F.floor(F.col("share") * SLICES), F.lit(SLICES - 1)).cast("int").alias("part")))
-    counts = ranked.groupBy("part").agg(F.count("*").alias("n"))  # SLICES rows at most
+    ranked = common.cut(ranked.select("doc_id", "stratum", "size", "text_crc32", "rank", "share", F.least(F.floor(F.col("share") * slices), F.lit(slices - 1)).cast("int").alias("part")))
+    counts = ranked.groupBy("part").agg(F.count("*").alias("n"))  # a row a slice
     sliced = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("part", F.coalesce(F.sum("n").over(sliced), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
     placed = ranked.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("share", "stratum", "rank"))).join(F.broadcast(starts), "part")
