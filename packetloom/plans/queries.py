@@ -371,7 +371,16 @@ def change_point_means(spark, d):
     return cusum.change_points(cusum.detect(rows, cusum.fit(rows, "x", 0.5, 2.0), "bucket", "x")).select("index", "cusum_value", "pre_mean", "post_mean").withColumns(r6("cusum_value", "pre_mean", "post_mean"))
 
 
-@register("cusum_by_host")
+@register("cusum_by_host", f"""
+    WITH RECURSIVE c AS (SELECT src_ip, CAST({DAY} AS BIGINT) AS b, count(*) AS n FROM ({EVENTS_SQL}) GROUP BY 1, 2),
+    e AS (SELECT src_ip, unnest(range(lo, hi + 1, 86400)) AS b FROM (SELECT src_ip, min(b) AS lo, max(b) AS hi FROM c GROUP BY 1)),
+    s AS (SELECT e.src_ip, CAST(coalesce(n, 0) AS DOUBLE) AS x, row_number() OVER (PARTITION BY e.src_ip ORDER BY e.b) AS i FROM e LEFT JOIN c ON e.src_ip = c.src_ip AND e.b = c.b),
+    m AS (SELECT src_ip, avg(x) AS t, CASE WHEN stddev_pop(x) = 0 THEN 1e-10 ELSE stddev_pop(x) END AS d FROM s GROUP BY 1),
+    w AS (SELECT s.src_ip, i, t, 0.5 * d AS k, 5 * d AS h, greatest(0.0, x - t - 0.5 * d) AS u, greatest(0.0, t - x - 0.5 * d) AS l FROM s JOIN m USING (src_ip) WHERE i = 1
+          UNION ALL SELECT s.src_ip, s.i, w.t, w.k, w.h,
+                 greatest(0.0, CASE WHEN w.u > w.h OR w.l > w.h THEN 0.0 ELSE w.u END + s.x - w.t - w.k), greatest(0.0, CASE WHEN w.u > w.h OR w.l > w.h THEN 0.0 ELSE w.l END - s.x + w.t - w.k)
+          FROM w JOIN s ON s.src_ip = w.src_ip AND s.i = w.i + 1)
+    SELECT src_ip, count(*) AS days, count(*) FILTER (u > h OR l > h) AS changes FROM w GROUP BY 1""")
 def cusum_by_host(spark, d):
     """Daily connections of each host as a series of its own, folded in parallel."""
     days = timeseries.conn_series(events(spark, d), "1d", ["src_ip"]).withColumn("x", F.col("total_connections").cast("double"))
