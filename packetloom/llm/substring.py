@@ -6,7 +6,8 @@ alone under its minimizer and without copies cannot share a window and goes no f
 size by minimizer. Each shard builds an FM-index (burrows-wheeler transform in a wavelet matrix of packed bits, with the multiplicities
 and common prefixes in suffix order); then its segments are streamed through backward search, which gives the matching statistics: at
 each position the longest match that occurs twice or more. Those of a window's length or more are reported. The segments of a minimizer
-too frequent for one shard are cut into their windows, which are dealt by their own hashes and searched in the same way.
+too frequent for one shard are halved by their windows' distance from it, again and again; each half has a longer minimizer, the words
+that all its windows share, and is dealt and searched by that.
 
 Words are compared by 64-bit hashes, segments by two of them.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common
 
 LOW = np.uint64((1 << 24) - 1)
-GROUP = 1 << 19
+GROUP = 1 << 18
 
 
 class WordHash(dict):
@@ -283,39 +284,66 @@ def searched(segs: DataFrame, shards: int, window: int) -> DataFrame:
     return segs.withColumn("shard", F.pmod(F.xxhash64("mini"), F.lit(shards))).groupBy("shard").applyInPandas(lambda rows: shard(rows), "mini long, seg long, mask long")
 
 
-def single_windows(segs: DataFrame, window: int, keep: bool) -> DataFrame:
-    """(mini, seg, times, k, h): each window of the segments by its own hash; with keep, its words too."""
+def halves(segs: DataFrame, window: int, run: int) -> DataFrame:
+    """The windows of each segment (mini, seg, times, data, low, high, at) in two parts, by their distance from the minimizer's run.
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[tuple] = []
-        for m, s, t, d in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-            out += [(m, s, t, k, h, d[8 * k : 8 * (k + window)]) for k, h in enumerate(mixed(np.frombuffer(d, np.uint64), window).view(np.int64).tolist())]
-        cols = list(zip(*out, strict=True))
-        kinds = {"mini": pa.int64(), "seg": pa.int64(), "times": pa.int64(), "k": pa.int32(), "h": pa.int64(), **({"data": pa.binary()} if keep else {})}
-        return common.batch_of(**{c: (x, t) for (c, t), x in zip(kinds.items(), cols, strict=False)})
+    The windows whose distance is in [low, high) share all words but that many less one, so the shared words are a longer minimizer of
+    theirs: each part's `mini` is their hash, `seg` that of its content; up_mini, up_seg and shift tell which windows of what it holds.
+    `at`, the run's place in a segment, is found anew if it is negative.
+    """
 
-    return common.map_batches(segs.select("mini", "seg", "times", "data"), run, "mini long, seg long, times long, k int, h long" + ", data binary" * keep)
+    def run_all(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[tuple] = []
+        h = xxhash.xxh64_intdigest
+        for mini, seg, times, data, low, high, at in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+            last = len(data) // 8 - window  # number of the last window
+            if at < 0:
+                found = mixed(np.frombuffer(data, np.uint64), run)
+                at = int(np.argmax((found & ~LOW) == (np.uint64(mini % (1 << 64)) & ~LOW)))
+            for a, b in ((low, (low + high) // 2), ((low + high) // 2, high)):
+                first, stop = max(0, at - b + 1), min(last, at - a)
+                if first <= stop:
+                    core, part = data[8 * (at - a) : 8 * (at - b + 1 + window)], data[8 * first : 8 * (stop + window)]
+                    out.append((h(core, 64 * a + b) - (1 << 63), h(part, 7) - (1 << 63), times, part, a, b, at - first, mini, seg, first))
+        cols = list(zip(*out, strict=True)) if out else [[]] * 10
+        names = ["mini", "seg", "times", "data", "low", "high", "at", "up_mini", "up_seg", "shift"]
+        return common.batch_of(**{c: (x, pa.binary() if c == "data" else pa.int32() if c in ("low", "high", "at", "shift") else pa.int64()) for c, x in zip(names, cols, strict=True)})
+
+    columns = segs.select("mini", "seg", "times", "data", "low", "high", "at")
+    return common.map_batches(columns, run_all, "mini long, seg long, times long, data binary, low int, high int, at int, up_mini long, up_seg long, shift int")
+
+
+def split_hot(known: DataFrame, window: int, run: int, minimizer_limit: int, shard_words: int, written: list[DataFrame]) -> DataFrame:
+    """(mini, seg, mask) of the segments (mini, seg, times, data, low, high, at) of minimizers with too many for one shard: halved until
+    their longer minimizers have few enough (a part of a single window is its own minimizer), each part searched in its shard."""
+    parts = common.cut(halves(known, window, run))
+    same = parts.groupBy("mini", "seg").agg(F.sum("times").alias("times"))
+    groups = same.groupBy("mini").agg(F.count("*").alias("kinds"), F.sum("times").alias("all")).where("all > 1").drop("all")
+    one = parts.drop("times", "up_mini", "up_seg", "shift").dropDuplicates(["mini", "seg"])
+    flagged = common.cut(one.join(same.join(groups, "mini"), ["mini", "seg"]))
+    written += [parts, flagged]
+    many = (F.col("kinds") > minimizer_limit) & (F.col("high") - F.col("low") > 1)
+    words = {r.many: r.words for r in flagged.groupBy(many.alias("many")).agg(F.sum(F.octet_length("data") / 8).cast("long").alias("words")).collect()}
+    out = searched(flagged.where(~many), max(1, -(-words.get(False, 0) // shard_words)), window)
+    if True in words:
+        out = out.unionByName(split_hot(flagged.where(many), window, run, minimizer_limit, shard_words, written))
+    met = parts.select("mini", "seg", "up_mini", "up_seg", "shift").join(out, ["mini", "seg"])
+    return met.groupBy(F.col("up_mini").alias("mini"), F.col("up_seg").alias("seg")).agg(F.expr("bit_or(shiftleft(mask, shift))").alias("mask"))
 
 
-def repeated_segments(docs: DataFrame, flagged: DataFrame, window: int, minimizer_limit: int, shard_words: int) -> DataFrame:
+def repeated_segments(docs: DataFrame, flagged: DataFrame, window: int, run: int, minimizer_limit: int, shard_words: int) -> DataFrame:
     """(mini, seg, mask), written: segments with windows that occur elsewhere, and which of their windows do."""
     first = flagged.groupBy("mini", "seg", "times", "kinds").agg(F.min(F.struct("doc_id", "print", "start", "n")).alias("at")).select("mini", "seg", "times", "kinds", "at.*")
-    usual, hot = (first.where(x).drop("kinds") for x in (F.col("kinds") <= minimizer_limit, F.col("kinds") > minimizer_limit))
-    sizes = first.groupBy((F.col("kinds") > minimizer_limit).alias("hot")).agg(F.sum(F.col("n") + window - 1).alias("words"))
-    words = {r.hot: r.words for r in sizes.collect()}
-    out = searched(contents(docs, usual, window), max(1, -(-words.get(False, 0) // shard_words)), window)
-    known = None
+    many = F.col("kinds") > minimizer_limit
+    words = {r.many: r.words for r in first.groupBy(many.alias("many")).agg(F.sum(F.col("n") + window - 1).alias("words")).collect()}
+    out = searched(contents(docs, first.where(~many), window), max(1, -(-words.get(False, 0) // shard_words)), window)
+    written: list[DataFrame] = []
     if True in words:
-        # A minimizer with more segments than a shard should hold: its windows part by their own hashes and go the same way.
-        known = common.cut(contents(docs, hot, window))
-        single = single_windows(known, window, False)
-        often = common.cut(single.groupBy("h").agg(F.sum("times").alias("all")).where("all > 1"))
-        parts = single_windows(known, window, True).select("h", "data").join(often, "h").dropDuplicates(["h"]).select(F.col("h").alias("mini"), F.col("h").alias("seg"), F.col("all").alias("times"), "data")
-        twice = searched(parts, max(1, -(-often.count() * window // shard_words)), window).select(F.col("mini").alias("h"))
-        out = out.unionByName(single.join(twice, "h").groupBy("mini", "seg").agg(F.expr("bit_or(shiftleft(1L, k))").alias("mask")))
+        known = contents(docs, first.where(many), window).dropDuplicates(["mini", "seg"])
+        whole = known.select("*", F.lit(0).alias("low"), F.lit(window - run + 1).alias("high"), F.lit(-1).alias("at"))
+        out = out.unionByName(split_hot(whole, window, run, minimizer_limit, shard_words, written))
     out = common.cut(out)
-    if known is not None:
-        common.forget(docs.sparkSession, known, often)
+    common.forget(docs.sparkSession, *written)
     return out
 
 
@@ -335,7 +363,7 @@ def remove_repeats(
     spots = common.cut(positions(rows, window, run))
     flagged = common.cut(flagged_positions(spots))
     common.forget(docs.sparkSession, spots)
-    masks = repeated_segments(rows, flagged, window, minimizer_limit, shard_words)
+    masks = repeated_segments(rows, flagged, window, run, minimizer_limit, shard_words)
     hits = flagged.select("mini", "seg", "doc_id", "print", "start", "n").join(masks, ["mini", "seg"])
     # Repeated rows of one id and text bring each hit as often as there are rows; the set holds it once, so it is bounded by one text.
     hits = hits.groupBy("doc_id", "print").agg(F.collect_set(F.struct("start", "n", "mask")).alias("hits")).withColumnsRenamed({"doc_id": "d", "print": "p"})
