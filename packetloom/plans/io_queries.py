@@ -181,21 +181,23 @@ def converted_log(spark, d):
     return spark.read.parquet(out).select("uid", "query", epoch("ts").alias("ts_us"), F.size("answers").cast("long").alias("answers"))
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """Sorted rows with their place, by the order in which their range partitions follow each other."""
+    marked = rows.withColumn("id", F.monotonically_increasing_id()).withColumn("p", F.shiftright("id", 33))
+    starts = marked.groupBy("p").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    return marked.join(F.broadcast(starts), "p").withColumn("place", F.col("before") + F.col("id").bitwiseAND((1 << 33) - 1) + 1).drop("id", "p", "before")
+
+
 @register("global_sort", f"SELECT uid, log_type, row_number() OVER (ORDER BY timestamp, uid, log_type) AS place FROM ({UNIFIED_SQL})")
 def global_sort(spark, d):
-    """Each row's place in the sorted output, by the order in which its range partitions follow each other."""
-    rows = ordered(unified(spark, d)).select("uid", "log_type", F.monotonically_increasing_id().alias("id"))
-    part = F.shiftright("id", 33)
-    starts = rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return rows.withColumn("p", part).join(F.broadcast(starts), "p").select("uid", "log_type", (F.col("before") + F.col("id").bitwiseAND((1 << 33) - 1) + 1).alias("place"))
+    """Each row's place in the sorted output."""
+    return placed(ordered(unified(spark, d)).select("uid", "log_type"))
 
 
-@register("hosts_in_order", f"SELECT src_ip, failed_count, row_number() OVER (ORDER BY failed_count DESC) = 1 AS first FROM (SELECT src_ip, count(*) AS failed_count FROM ({EVENTS_SQL}) WHERE {FAILED_SQL} GROUP BY 1) QUALIFY failed_count = max(failed_count) OVER ()")
+@register("hosts_in_order", f"SELECT failed_count, row_number() OVER (ORDER BY failed_count DESC) AS place FROM (SELECT src_ip, count(*) AS failed_count FROM ({EVENTS_SQL}) WHERE {FAILED_SQL} GROUP BY 1)")
 def hosts_in_order(spark, d):
-    """The hosts of most failures, as the ranked result puts them first."""
-    ranked = eda.failed_sources(events(spark, d)).select("src_ip", "failed_count")
-    top = ranked.limit(1).select(F.col("src_ip").alias("s"), F.col("failed_count").alias("c"))
-    return ranked.join(F.broadcast(top), F.col("failed_count") == F.col("c")).select("src_ip", "failed_count", (F.col("src_ip") == F.col("s")).alias("first"))
+    """The counts of the ranked hosts in the order in which the result gives them."""
+    return placed(eda.failed_sources(events(spark, d)).select("failed_count"))
 
 
 #: A frame with values of every type, some of which break their rule, by the event's number.

@@ -408,8 +408,9 @@ def stationarity_halves(spark, d):
     return timeseries.stationarity(hourly(spark, d), "x").select("n", "mean_first", "mean_second", "var_first", "var_second", "is_stationary").withColumns(r6("mean_first", "mean_second", "var_first", "var_second"))
 
 
-#: Upper tail of the normal distribution by its power series, summed in logarithms.
-TAIL_OF = "(CASE WHEN {z} >= 0 THEN 1 ELSE -1 END * greatest(0.0, 0.5 - (SELECT sum(exp((2 * n + 1) * ln(greatest(abs({z}), 1e-300)) - (n + 1) * ln(2.0) - lgamma(n + 1.5) + 0.5 * ln(pi()) - {z} * {z} / 2 - 0.5 * ln(2 * pi()))) FROM range(4000) r(n))) + CASE WHEN {z} >= 0 THEN 0 ELSE 1 END)"
+#: Upper tail of the normal distribution by its power series, summed in logarithms (beyond 40 it is nothing to any number of digits shown).
+SIZE_OF = "greatest(least(abs({z}), 40.0), 1e-300)"
+TAIL_OF = f"(CASE WHEN {{z}} >= 0 THEN 1 ELSE -1 END * greatest(0.0, 0.5 - (SELECT sum(exp((2 * n + 1) * ln({SIZE_OF}) - (n + 1) * ln(2.0) - lgamma(n + 1.5) + 0.5 * ln(pi()) - {SIZE_OF} * {SIZE_OF} / 2 - 0.5 * ln(2 * pi()))) FROM range(2500) r(n))) + CASE WHEN {{z}} >= 0 THEN 0 ELSE 1 END)"
 
 
 def judged_sql(inner: str, two_sided: bool) -> str:
