@@ -188,7 +188,11 @@ class FMIndex:
 
 
 def positions(docs: DataFrame, window: int, run: int) -> DataFrame:
-    """(mini, seg, doc_id, print, start, n): every segment of every text, by minimizer and content hash."""
+    """(mini, seg, doc_id, print, start, n): every segment of every text, by minimizer and content hash.
+
+    Texts shorter than the window, null and empty ones included, have none. Repeated rows each return theirs; null ids are kept. Of equal
+    least hashes the leftmost is the minimizer. A very long text goes in slices that share a window less a word.
+    """
 
     def group(held: list[tuple[int | None, int, np.ndarray, int]]) -> pa.RecordBatch:
         ids, sizes = np.concatenate([x[2] for x in held]), np.array([len(x[2]) for x in held])
