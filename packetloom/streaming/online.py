@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType, TimestampType
 
 from ..functions.network import label_suffixes
 from ..operators.eda import failed, nxdomain
-from ..operators.enrich import BROADCAST_ROWS
+from ..operators.enrich import BROADCAST_BYTES
 from ..operators.normalize import normalize
 from ..schema import LOGS
 from ..sources.indicators import Indicators
@@ -34,9 +34,9 @@ def threat_match(events: DataFrame, feeds: Indicators) -> DataFrame:
     """Adds ti_match by stream-static joins. The static side is exploded beforehand; the row's suffixes are tested against a small set.
 
     Indicators are joined as one row that holds their distinct values as map keys, so a row of the stream never multiplies. Feeds of
-    over BROADCAST_ROWS values are refused: enrich those by the batch join in foreachBatch.
+    over BROADCAST_BYTES are refused: enrich those by the batch join in foreachBatch.
     """
-    if feeds.rows.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+    if feeds.rows.agg(F.coalesce(F.sum(F.length("indicator") + 8), F.lit(0))).first()[0] > BROADCAST_BYTES:
         raise ValueError("too many indicators to hold in each task; use enrich.threat_match in foreachBatch")
     keys = feeds.ips().unionByName(feeds.domains()).distinct().agg(F.map_from_arrays(F.collect_list("indicator"), F.collect_list(F.lit(True))).alias("_listed"))
     listed = lambda c: F.coalesce(F.try_element_at(F.col("_listed"), c), F.lit(False))
