@@ -156,6 +156,36 @@ def test_the_pipeline_drops_texts_of_similarity_eight_tenths(spark, docs, odd_do
     assert corpus_pipeline.drop_near_copies(spark, no_docs, sf_dir).count() == 0
 
 
+def test_crowds_are_compared_in_blocks(spark):
+    """A crowd of near copies with outliers under the threshold, in buckets of any size and blocks of any length, against brute force."""
+    rng = np.random.default_rng(8)
+    base = [f"b{k}" for k in range(120)]
+    made = []
+    for k in range(60):
+        words = list(base)
+        for at in rng.choice(120, int(rng.integers(1, 7)), replace=False):
+            words[at] = f"x{rng.integers(0, 10**9)}"
+        made.append((k, " ".join(words)))
+    want = first_of_classes(made)
+    assert 1 < len(want) < 50
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    for limit, block in ((32, 1 << 17), (2, 2000), (2, 1 << 17)):
+        assert sorted(r.doc_id for r in resemblance.one_of_each(df, bucket_limit=limit, block=block).collect()) == want
+
+
+def test_linked_against_brute_force():
+    rng = np.random.default_rng(9)
+    for _ in range(50):
+        sets = [np.unique(rng.integers(0, 12, rng.integers(1, 12)).astype(np.uint64)) for _ in range(8)]
+        root = list(range(8))
+        for i in range(8):
+            for j in range(i):
+                a, b = set(sets[i].tolist()), set(sets[j].tolist())
+                if len(a & b) / len(a | b) >= 0.6:
+                    root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+        assert resemblance.linked(sets, 0.6, columns=4).tolist() == root
+
+
 def test_bands_find_every_pair_of_similarity_eight_tenths():
     rng = np.random.default_rng(6)
     for _ in range(300):
