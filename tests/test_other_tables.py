@@ -32,3 +32,22 @@ def events_of(n, time, user="i"):
 def test_summary_of_spikes_without_any(agree, n, time, anomalies):
     """Even hours, no event at all, and one spike."""
     assert agree("sma_summary", events_of(n, time))[0]["anomalies"] == anomalies
+
+
+#: Users around the first whose source address has a part over 255, and far above.
+MANY_USERS = events_of(400, "CAST(i AS INT)", "[65535, 65536, 90000, 16777216, 12345678901][i % 5 + 1] + i // 5")
+
+
+def test_every_user_has_an_address(spark):
+    from pyspark.sql import functions as F
+
+    from packetloom.functions.network import is_ip
+    from packetloom.sources.adapters import carried
+
+    want = {"10.0.0.7": "10.0.0.7", "10.0.255.255": "10.0.255.255", "10.0.256.0": "10.1.0.0", "10.0.351.144": "10.1.95.144", "10.0.65536.3": "10.0.0.3", "10.0.0.-5": "10.0.0.251", None: None}
+    rows = spark.createDataFrame([(x,) for x in want], "ip string").select("ip", carried(F.col("ip")).alias("c"))
+    assert {r.ip: r.c for r in rows.collect()} == want and rows.where(is_ip(F.col("c"))).count() == len(want) - 1
+
+
+def test_types_are_validated_for_any_user(agree):
+    assert {r["field"]: r["errors"] for r in agree("validation_by_type", MANY_USERS)}["source.ip"] == 184
