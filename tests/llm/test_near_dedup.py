@@ -1,3 +1,4 @@
+import inspect
 import math
 import re
 
@@ -192,3 +193,31 @@ def test_bands_find_every_pair_of_similarity_eight_tenths():
         own = np.unique(rng.integers(0, 1 << 63, 108, np.uint64))
         a, b = own[:99], np.concatenate([own[:88], own[99:]])  # 88 of 108 at least
         assert (resemblance.bands(a) == resemblance.bands(b)).any()
+
+
+def steps_of_near_dedup():
+    return [n for n, f in vars(resemblance).items() if inspect.isfunction(f) and f.__module__ == resemblance.__name__ and f.__annotations__.get("return") == "DataFrame" and n != "one_of_each"]
+
+
+@pytest.mark.parametrize("step", [None, *steps_of_near_dedup()])
+def test_every_step_of_near_dedup_decides(spark, monkeypatch, step):
+    """Without the rows of any one step, classes come apart: of two similar texts alone, or kept from being next to each other by some
+    texts of sizes between theirs that are similar to neither, in small buckets and in large ones."""
+    rng = np.random.default_rng(11)
+    made = []
+    for k, between in enumerate((0, 30, 260)):
+        base = [f"b{k}.{x}" for x in range(300)]
+        made += [base, base + [f"c{k}.{x}" for x in range(66)]]
+        for j in range(between):
+            words = base + [f"d{k}.{j}.{x}" for x in range(20)]
+            for at in 6 * rng.choice(48, 6, replace=False) + 6:
+                words[at] = f"e{k}.{j}.{at}"
+            made.append(words)
+    rows = [(k, " ".join(x)) for k, x in enumerate(made)]
+    want = first_of_classes(rows)
+    assert len(want) == len(rows) - 3
+    if step:
+        real = getattr(resemblance, step)
+        monkeypatch.setattr(resemblance, step, lambda *a: real(*a).limit(0))
+    kept = sorted(r.doc_id for r in resemblance.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), bucket_limit=24).collect())
+    assert (kept == want) == (step is None)
